@@ -20,9 +20,9 @@ ORACLES = {
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 33, 1))) AS t(i)),
 twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
-gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS at FROM win SEMI JOIN twice USING (h) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(list_filter(w, lambda x, j: NOT coalesce(list_contains(at, j::BIGINT), false)), ' '), '')) AS kept_sha256
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS places FROM win SEMI JOIN twice USING (h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, j: NOT coalesce(list_contains(places, j::BIGINT), false)), ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """,
 }
