@@ -6,8 +6,8 @@ slot is the signature: two texts agree in a slot with the probability of their w
 of about one dart per element instead of one hash per element and slot.
 
 Texts with equal words form one node first.  Nodes that share a band of the signature are candidates: all members of
-a bucket are compared with its least member, what stays apart with its greatest, and what then could still be similar
-with every member it is not yet connected to.  Candidates are verified on their whole shingle bags; classes are the
+a bucket are compared with its least member; what that leaves unconnected is compared with the whole bucket, block by
+block, by counting common elements over the block's postings, so that only similar pairs leave a task.  Candidates are verified on their whole shingle bags; classes are the
 connected components of pairs of similarity THRESHOLD or more.
 """
 
@@ -30,6 +30,8 @@ BANDS, ROWS = 28, 6
 COORDINATES = BANDS * ROWS
 #: Expected darts per text; an empty slot doubles it for that text.
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
+#: Members of a bucket that one task holds of either side; larger buckets are dealt to several tasks.
+BLOCK = 2000
 
 
 def bags(sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +128,30 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "sim": sims})
 
 
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Similar pairs of an asking member and any other that is not of its component, from postings of the block."""
+    asks = rows["asks"].to_numpy(bool)
+    nodes, mine = rows["node"].to_numpy(object), rows["mine"].to_numpy(object)
+    bag = [np.frombuffer(x, np.uint32) for x in rows["bag"]]
+    member = np.flatnonzero(~asks)
+    size = np.array([len(bag[i]) for i in member])
+    owner = np.repeat(np.arange(len(member)), size)
+    flat = np.concatenate([bag[i] for i in member]) if len(member) else np.empty(0, np.uint32)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for q in np.flatnonzero(asks):
+        lo, hi = np.searchsorted(flat, bag[q], "left"), np.searchsorted(flat, bag[q], "right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(member))
+        for k in np.flatnonzero(both >= THRESHOLD * (len(bag[q]) + size - both) - 1e-9):
+            i = member[k]
+            if mine[i] != mine[q]:
+                out.append((min(nodes[q], nodes[i]), max(nodes[q], nodes[i]), both[k] / (len(bag[q]) + size[k] - both[k])))
+    return pd.DataFrame(out, columns=["a", "b", "sim"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (least node of its component) of the nodes of edges(a, b): least labels, with pointer jumping."""
     both = scratch.checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -152,7 +178,7 @@ def classes(docs: DataFrame) -> DataFrame:
     known = signed.read().where("n_words > 0")
     nodes = known.select("node", "bands").dropDuplicates(["node"])
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("n > 1")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     bucket_table = scratch.Table(keyed.join(shared, "key"), "buckets")
     buckets = bucket_table.read()
     pairs = scratch.checkpoint(buckets.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
@@ -169,24 +195,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
     sims = verified(pairs)
     label = components(sims.where(F.col("sim") >= THRESHOLD))
-    for last in (False, True):
-        mine = label.select("node", F.col("comp").alias("mine"))
-        named = buckets.where("n > 2").join(mine, "node", "left").withColumn("mine", F.coalesce("mine", "node"))
-        theirs = label.select(F.col("node").alias("least"), F.col("comp").alias("theirs"))
-        apart = scratch.checkpoint(named.join(theirs, "least", "left").where(F.col("mine") != F.coalesce("theirs", "least")).select("key", "node", "mine", "least", "most"))
-        if apart.isEmpty():
-            break
-        if not last:
-            more = apart.where("node <> most").select(F.col("node").alias("a"), F.col("most").alias("b"))
-        else:
-            # similar to a member linked with the centre only if not too far from the centre; or to another that is apart
-            close = apart.join(sims.select(F.col("a").alias("node"), F.col("b").alias("least"), "sim"), ["node", "least"], "left").select("key", "node", "mine", F.coalesce(F.col("sim") >= 2 * THRESHOLD - 1, F.lit(True)).alias("close"))
-            other = named.select("key", F.col("node").alias("other"), F.col("mine").alias("of")).join(apart.select("key", F.col("node").alias("other"), F.lit(True).alias("too")), ["key", "other"], "left").withColumn("too", F.coalesce("too", F.lit(False)))
-            more = close.join(other, "key").where("mine <> of AND (close OR too)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        more = scratch.checkpoint(more.distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti").join(sims.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        sims = scratch.checkpoint(sims.unionByName(verified(more)))
+    # what a bucket's least member did not connect is compared with all of the bucket, in blocks
+    named = buckets.where("n > 2").join(label.select("node", F.col("comp").alias("mine")), "node", "left").withColumn("mine", F.coalesce("mine", "node"))
+    theirs = label.select(F.col("node").alias("least"), F.col("comp").alias("theirs"))
+    apart = scratch.checkpoint(named.join(theirs, "least", "left").where(F.col("mine") != F.coalesce("theirs", "least")).select("key", "node"))
+    if not apart.isEmpty():
+        groups = apart.groupBy("key").agg(F.count("*").alias("asking"))
+        rest = named.join(groups, "key").join(apart.withColumn("asks", F.lit(True)), ["key", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        sides = (F.ceil(F.col("asking") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int"))
+        own = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+        asked = rest.select("key", "node", "mine", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), sides[0] - 1)).alias("qb"), (own % sides[1]).alias("mb"))
+        asking = rest.where("asks").select("key", "node", "mine", "asks", (own % sides[0]).alias("qb"), F.explode(F.sequence(F.lit(0), sides[1] - 1)).alias("mb"))
+        met = asked.unionByName(asking).join(bag, "node").groupBy("key", "qb", "mb").applyInPandas(_meet, "a binary, b binary, sim double")
+        more = scratch.checkpoint(met.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+        sims = sims.unionByName(more.join(sims.select("a", "b"), ["a", "b"], "left_anti").join(sims.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
         label = components(sims.where(F.col("sim") >= THRESHOLD))
     links = sims.where(F.col("sim") >= THRESHOLD)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
