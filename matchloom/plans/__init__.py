@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Imports every module that registers queries."""
+    from matchloom.plans import linkage, relational, strings  # noqa: F401
