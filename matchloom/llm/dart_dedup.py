@@ -30,6 +30,8 @@ BANDS, ROWS = 28, 6
 COORDINATES = BANDS * ROWS
 #: Expected darts per text; an empty slot doubles it for that text.
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
+#: Texts signed together, and darts thrown at a time, which bounds a task's memory whatever the texts' lengths.
+TOGETHER, STEP = 256, 200_000
 #: Members of a bucket that one task holds of either side; larger buckets are dealt to several tasks.
 BLOCK = 2000
 
@@ -67,13 +69,17 @@ def signatures(elements: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         best = np.full(len(todo) * COORDINATES, np.iinfo(np.uint64).max, U64)
         rank, turn = np.zeros(len(e)), 0
         while len(e):
-            turn += 1
-            u = mix(e + U64(turn * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            rank = rank - np.log(((u >> U64(11)).astype(np.float64) + 1) / (1 << 53))
-            live = rank < limit
-            e, slot_base, limit, rank, u = e[live], slot_base[live], limit[live], rank[live], mix(u[live])
-            dart = (rank.astype(np.float32).view(np.uint32).astype(U64) << U64(32)) | (u & U64(0xFFFFFFFF))
-            np.minimum.at(best, slot_base + ((u >> U64(32)) % U64(COORDINATES)).astype(np.int64), dart)
+            # several darts of each element at once where few elements are left
+            ahead = np.arange(turn + 1, turn + 1 + max(1, min(256, STEP // len(e))), dtype=U64) * U64(0xD1342543DE82EF95)
+            turn += len(ahead)
+            u = mix(e[:, None] + ahead)
+            ranks = np.cumsum(-np.log(((u >> U64(11)).astype(np.float64) + 1) / (1 << 53)), axis=1) + rank[:, None]
+            hit = ranks < limit[:, None]
+            u = mix(u[hit])
+            dart = (ranks[hit].astype(np.float32).view(np.uint32).astype(U64) << U64(32)) | (u & U64(0xFFFFFFFF))
+            np.minimum.at(best, np.broadcast_to(slot_base[:, None], hit.shape)[hit] + ((u >> U64(32)) % U64(COORDINATES)).astype(np.int64), dart)
+            live = hit[:, -1]
+            e, slot_base, limit, rank = e[live], slot_base[live], limit[live], ranks[live, -1]
         best = best.reshape(len(todo), COORDINATES)
         full = (best != np.iinfo(np.uint64).max).all(1)
         out[todo[full]] = best[full] & U64(0xFFFFFFFF)
@@ -101,7 +107,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(lengths)
             one, two = Rolling(sym).ranges(ends - lengths, ends), Rolling(mix(sym)).ranges(ends - lengths, ends)
             elements, doc = bags(sym, lengths)
-            keys = band_keys(signatures(elements, doc, j - i))
+            cut = np.searchsorted(doc, np.arange(0, j - i + TOGETHER, TOGETHER))
+            parts = [signatures(elements[lo:hi], doc[lo:hi] - k * TOGETHER, min(TOGETHER, j - i - k * TOGETHER)) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:]))]
+            keys = band_keys(np.concatenate(parts))
             node = [a.tobytes() + b.tobytes() for a, b in zip(one, two)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node, pa.binary()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))], names=["kd", "kt", "node", "n_words", "bands"])
 
