@@ -208,12 +208,12 @@ def test_forward_sums_all_segmentations():
 def test_personal_data(spark):
     lines = [f"Contact Zorblax about it via zed{k % 2}@mail.example.com please {k}" for k in range(8)]
     rows = [(i, f"{line}\nAnd Plain words follow") for i, line in enumerate(lines)] + [(50 + i, "And Plain words follow, Contact us") for i in range(9)]
-    rows += [(100, "a@b.c_x@y.zz.q +1 (555) 010-9999x 300.1.1.1 10.0.0.255 x4111 1111 1111 1111 x 4111-1111-1111-1112"), (101, None), (102, ""), (103, "é+49 30 1234567890 1.1.1.0000000000000000000001"), (104, "9 " * 4000), (0, rows[0][1])]
+    rows += [(100, "a@b.c_x@y.zz.q +1 (555) 010-9999x 300.1.1.1 10.0.0.255 x4111 1111 1111 1111 x 4111-1111-1111-1112"), (101, None), (102, ""), (103, "é+49 30 1234567890 x1.1.1.0000000000000000000001"), (104, "9 " * 4000), (0, rows[0][1])]
     got = pii.find(frame(spark, rows)).select("doc_id", pii.listed(F.col("base")).alias("b"), pii.listed(F.col("spans")).alias("s"), "text").collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[100].b == "email:0:5,email:5:14,phone:15:32,ip:44:54,card:56:75"
-    assert by[103].b == "phone:1:18,ip:19:47" and by[101].b == by[102].b == by[104].b == ""
+    assert by[103].b == "phone:1:18,ip:20:48" and by[101].b == by[102].b == by[104].b == ""
     said = {by[i].text[int(x.split(":")[1]) : int(x.split(":")[2])] for i in range(8) for x in by[i].s.split(",") if x.startswith("term")}
     assert said == {"Zorblax"} or said == set()
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
