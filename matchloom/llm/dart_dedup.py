@@ -137,11 +137,21 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Similar pairs of an asking member and any other that is not of its component, from postings of the block."""
+    """Links between components: similar pairs of an asking member and any other, from postings of the block.
+
+    Of the links that join what the block has joined already, none is returned: connections are the same without.
+    """
     asks = rows["asks"].to_numpy(bool)
-    nodes, mine = rows["node"].to_numpy(object), rows["mine"].to_numpy(object)
+    mine = rows["mine"].to_numpy(object)
+    root: dict[bytes, bytes] = {m: m for m in mine}
+
+    def find(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     bag = [np.frombuffer(x, np.uint32) for x in rows["bag"]]
-    member = np.flatnonzero(~asks)
+    member = np.array(sorted(np.flatnonzero(~asks), key=lambda i: mine[i]), np.int64)
     size = np.array([len(bag[i]) for i in member])
     owner = np.repeat(np.arange(len(member)), size)
     flat = np.concatenate([bag[i] for i in member]) if len(member) else np.empty(0, np.uint32)
@@ -154,10 +164,11 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
         both = np.bincount(owner[at], minlength=len(member))
         for k in np.flatnonzero(both >= THRESHOLD * (len(bag[q]) + size - both) - 1e-9):
-            i = member[k]
-            if mine[i] != mine[q]:
-                out.append((min(nodes[q], nodes[i]), max(nodes[q], nodes[i]), both[k] / (len(bag[q]) + size[k] - both[k])))
-    return pd.DataFrame(out, columns=["a", "b", "sim"])
+            x, y = find(mine[q]), find(mine[member[k]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((mine[q], mine[member[k]]))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,9 +187,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """kd, kt (see repeats.keyed), doc_id, class_id (least doc_id of the class), n_links of every row of docs(doc_id, text).
+    """kd, kt (see repeats.keyed), doc_id, class_id (least doc_id of the class), kept of every row of docs(doc_id, text).
 
-    Texts with equal words are one node, n_links counts the verified links of it.  A text without words (null, empty)
+    Texts with equal words are one node.  A text without words (null, empty)
     is a class of its own.  A null doc_id has the class_id of its class, or null if all of its ids are null.
     """
     rows = repeats.keyed(docs)
@@ -207,6 +218,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = buckets.where("n > 2").join(label.select("node", F.col("comp").alias("mine")), "node", "left").withColumn("mine", F.coalesce("mine", "node"))
     theirs = label.select(F.col("node").alias("least"), F.col("comp").alias("theirs"))
     apart = scratch.checkpoint(named.join(theirs, "least", "left").where(F.col("mine") != F.coalesce("theirs", "least")).select("key", "node"))
+    more = label
     if not apart.isEmpty():
         groups = apart.groupBy("key").agg(F.count("*").alias("asking"))
         rest = named.join(groups, "key").join(apart.withColumn("asks", F.lit(True)), ["key", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
@@ -214,21 +226,18 @@ def classes(docs: DataFrame) -> DataFrame:
         own = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
         asked = rest.select("key", "node", "mine", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), sides[0] - 1)).alias("qb"), (own % sides[1]).alias("mb"))
         asking = rest.where("asks").select("key", "node", "mine", "asks", (own % sides[0]).alias("qb"), F.explode(F.sequence(F.lit(0), sides[1] - 1)).alias("mb"))
-        met = asked.unionByName(asking).join(bag, "node").groupBy("key", "qb", "mb").applyInPandas(_meet, "a binary, b binary, sim double")
-        more = scratch.checkpoint(met.groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        sims = sims.unionByName(more.join(sims.select("a", "b"), ["a", "b"], "left_anti").join(sims.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        label = components(sims.where(F.col("sim") >= THRESHOLD))
-    links = sims.where(F.col("sim") >= THRESHOLD)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+        met = asked.unionByName(asking).join(bag, "node").groupBy("key", "qb", "mb").applyInPandas(_meet, "a binary, b binary")
+        more = components(scratch.checkpoint(met.distinct()))
     member = scratch.checkpoint(signed.read().select("kd", "kt", "node", "n_words"))
     for table in (signed, bucket_table, bag_table):
         table.drop()
-    found = member.join(label, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = member.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = found.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("wider")), "comp", "left").withColumn("comp", F.coalesce("wider", "comp"))
     real = F.when(F.col("kd") != repeats.NULL_ID, F.col("kd"))
     least = found.where("n_words > 0").groupBy("comp").agg(F.min(real).alias("class_id"), F.min(F.struct("kd", "kt")).alias("keeper"))
     out = found.join(least, "comp", "left")
     lone = F.col("n_words") == 0
-    return out.select("kd", "kt", real.alias("doc_id"), F.when(lone, real).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (lone | ((F.col("keeper.kd") == F.col("kd")) & (F.col("keeper.kt") == F.col("kt")))).alias("kept"))
+    return out.select("kd", "kt", real.alias("doc_id"), F.when(lone, real).otherwise(F.col("class_id")).alias("class_id"), (lone | ((F.col("keeper.kd") == F.col("kd")) & (F.col("keeper.kt") == F.col("kt")))).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -236,11 +245,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat id and text, one stays.  Texts without words all stay (once per id).
     """
-    kd, kt = (F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NULL_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    keep = scratch.checkpoint(classes(docs.select("doc_id", "text")).where("kept").select(F.col("kd").alias("__kd"), F.col("kt").alias("__kt")).distinct())
-    marked = docs.withColumn("__kd", kd).withColumn("__kt", kt)
-    return marked.dropDuplicates(["__kd", "__kt"]).join(keep, ["__kd", "__kt"], "left_semi").select(*docs.columns)
+    keep = scratch.checkpoint(classes(docs.select("doc_id", "text")).where("kept").select("kd", "kt").distinct())
+    return repeats.boxed(docs).select("row", "kd", "kt").dropDuplicates(["kd", "kt"]).join(keep, ["kd", "kt"], "left_semi").select("row.*")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import scratch
-from matchloom.llm.repeats import NULL_ID
+from matchloom.llm.repeats import boxed
 
 #: Possessive quantifiers where nothing can be given back: same matches, no deep recursion on long texts.
 PATTERNS = {
@@ -140,18 +140,16 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
 
 
 def spotted(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with __text (null: empty), __base and __spans: arrays sorted by start, then kind."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("__text", text).withColumn("__base", base_spans(F.col("__text")))
-    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64("__text"))
-    found = disclosing(rows.select(keys[0].alias("kd"), keys[1].alias("kt"), F.col("__text").alias("text"), F.col("__base").alias("base")))
+    """row (all columns of docs), text (null: empty), base and spans: arrays sorted by start, then kind."""
+    rows = boxed(docs).withColumn("base", base_spans(F.col("text")))
+    found = disclosing(rows.select("kd", "kt", "text", "base"))
     if found is None:
-        return rows.withColumn("__spans", F.col("__base"))
+        return rows.select("row", "text", "base", F.col("base").alias("spans"))
     terms, hits = found
     span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), (F.col("start") + F.length("term")).cast("int").alias("end"), F.lit("term").alias("kind"), F.col("term").alias("value")).cast(SPAN)
-    own = hits.join(terms, "term").groupBy(F.col("kd").alias("__kd"), F.col("kt").alias("__kt")).agg(F.collect_set(span).alias("__more"))
-    rows = rows.withColumn("__kd", keys[0]).withColumn("__kt", keys[1]).join(own, ["__kd", "__kt"], "left")
-    return rows.withColumn("__spans", F.sort_array(F.concat("__base", F.coalesce("__more", F.array().cast(f"array<{SPAN}>"))))).drop("__kd", "__kt", "__more")
+    own = hits.join(terms, "term").groupBy("kd", "kt").agg(F.collect_set(span).alias("more"))
+    rows = rows.join(own, ["kd", "kt"], "left")
+    return rows.select("row", "text", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -159,13 +157,13 @@ def find(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one and has no span.  Repeated rows get equal spans; other columns are ignored.
     """
-    return spotted(docs.select("doc_id", "text")).select("doc_id", F.col("__text").alias("text"), F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+    return spotted(docs.select("doc_id", "text")).select("row.doc_id", "text", "base", "spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs (all columns) with spans of text replaced by their kind in angle brackets; null texts stay null."""
-    clean = F.when(F.col("text").isNotNull(), masked(F.col("__text"), F.col("__spans")))
-    return spotted(docs).withColumn("text", clean).select(*docs.columns)
+    clean = F.when(F.col("row.text").isNotNull(), masked(F.col("text"), F.col("spans")))
+    return spotted(docs).select(*((clean if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

@@ -66,6 +66,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kd"), F.xxhash64(text).alias("kt"), F.col("doc_id"), text.alias("text"))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns, whatever their names), kd, kt and text (null: empty) of docs(doc_id, text, ...)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kd"), F.xxhash64(text).alias("kt"), text.alias("text"))
+
+
 def _slices(column: pa.Array, words: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, end offsets) of runs of texts of about SLICE bytes; words: texts end in a line feed."""
     column = column.cast(pa.large_binary())

@@ -163,9 +163,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs (all columns) into which no benchmark item leaks."""
-    bad = leaks(docs.select("doc_id", "text"), benchmark).select(F.col("kd").alias("__kd"), F.col("kt").alias("__kt")).distinct()
-    marked = docs.withColumn("__kd", F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NULL_ID))).withColumn("__kt", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(bad, ["__kd", "__kt"], "left_anti").select(*docs.columns)
+    bad = leaks(docs.select("doc_id", "text"), benchmark).select("kd", "kt").distinct()
+    return repeats.boxed(docs).select("row", "kd", "kt").join(bad, ["kd", "kt"], "left_anti").select("row.*")
 
 
 def op3_tiling_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
