@@ -30,8 +30,9 @@ BANDS, ROWS = 28, 6
 COORDINATES = BANDS * ROWS
 #: Expected darts per text; an empty slot doubles it for that text.
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
-#: Texts signed together, and darts thrown at a time, which bounds a task's memory whatever the texts' lengths.
-TOGETHER, STEP = 256, 200_000
+#: Texts signed together, darts thrown at a time and bytes of texts taken at a time (one text at least), which bound a
+#: task's memory.
+TOGETHER, STEP, SLICE = 256, 200_000, 800_000
 #: Members of a bucket that one task holds of either side; larger buckets are dealt to several tasks.
 BLOCK = 2000
 
@@ -96,9 +97,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i, j, buf, ends in repeats._slices(batch.column(at), True):
+    for i, j, buf, ends in repeats._slices(batch.column(at), True, SLICE):
         sym, start, _ = word_symbols(buf)
         yield i, j, sym, np.diff(np.searchsorted(start, ends), prepend=0)
+    # a worker that waits for its next task must not hold what Arrow keeps for reuse
+    pa.default_memory_pool().release_unused()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

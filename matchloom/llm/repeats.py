@@ -72,8 +72,8 @@ def boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kd"), F.xxhash64(text).alias("kt"), text.alias("text"))
 
 
-def _slices(column: pa.Array, words: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, end offsets) of runs of texts of about SLICE bytes; words: texts end in a line feed."""
+def _slices(column: pa.Array, words: bool, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, end offsets) of runs of texts of about size bytes; words: texts end in a line feed."""
     column = column.cast(pa.large_binary())
     n = len(column)
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
@@ -81,7 +81,7 @@ def _slices(column: pa.Array, words: bool) -> Iterator[tuple[int, int, np.ndarra
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         if words:
             parts = [raw[off[x] : off[x + 1]].tobytes() for x in range(i, j)]
             yield i, j, np.frombuffer(b"\n".join([*parts, b""]), np.uint8), off[i + 1 : j + 1] - off[i] + np.arange(1, j - i + 1)
