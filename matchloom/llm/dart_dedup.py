@@ -35,6 +35,8 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 TOGETHER, STEP, SLICE = 256, 200_000, 800_000
 #: Members of a bucket that one task holds of either side; larger buckets are dealt to several tasks.
 BLOCK = 2000
+#: Postings of an asking member that are counted at once, about (one element's, at most BLOCK, on top).
+POSTINGS = 500_000
 
 
 def bags(sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,17 +128,15 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([np.unique(small[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["node", "bag"])
 
 
-def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        sims = []
-        for x, y in zip(frame["bag_a"], frame["bag_b"]):
-            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            if min(len(a), len(b)) < 0.5 * max(len(a), len(b)):
-                sims.append(0.0)
-                continue
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            sims.append(both / max(1, len(a) + len(b) - both))
-        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "sim": sims})
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sims = np.zeros(batch.num_rows)
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            if min(len(a), len(b)) >= 0.5 * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                sims[i] = both / max(1, len(a) + len(b) - both)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,8 +164,11 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     for q in np.flatnonzero(asks):
         lo, hi = np.searchsorted(flat, bag[q], "left"), np.searchsorted(flat, bag[q], "right")
         many = hi - lo
-        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        both = np.bincount(owner[at], minlength=len(member))
+        both = np.zeros(len(member), np.int64)
+        part = np.cumsum(many) // POSTINGS
+        for c in np.flatnonzero(np.bincount(part)) if len(part) else ():
+            f, k = lo[part == c], many[part == c]
+            both += np.bincount(owner[np.repeat(f - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=len(member))
         for k in np.flatnonzero(both >= THRESHOLD * (len(bag[q]) + size - both) - 1e-9):
             x, y = find(mine[q]), find(mine[member[k]])
             if x != y:
@@ -213,7 +216,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-        return scratch.checkpoint(joined.select("a", "b", "bag_a", "bag_b").mapInPandas(_compare, "a binary, b binary, sim double"))
+        return scratch.checkpoint(joined.select("a", "b", "bag_a", "bag_b").mapInArrow(_compare, "a binary, b binary, sim double"))
 
     sims = verified(pairs)
     label = components(sims.where(F.col("sim") >= THRESHOLD))
