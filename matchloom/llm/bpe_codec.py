@@ -15,11 +15,15 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.llm import memory
+
 #: Bytes of a leaf; runs of characters that could make a piece longer than this take the tree.
 LEAF = 1024
+#: Bytes of texts encoded between two results of a task (one text at least).
+SLICE = 1_000_000
 SPECIAL = "<|endoftext|>"
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -96,17 +100,22 @@ def codec(path: str | None = None) -> Codec:
 
 
 def _run(path: str | None, texts: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("n_tokens", "ids", "decoded") if texts else ("n_tokens", "ids_sha256", "decoded_sha256")
+    kinds = (pa.int64(), pa.binary(), pa.string()) if texts else (pa.int64(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for frame in frames:
+
+        def make(part: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for text in frame["text"]:
-                ids = own.encode(text)
+            for text in part["text"]:
+                ids = own.encode(text.as_py())
                 back = own.decode(ids)
                 raw = ids.astype("<u4").tobytes()
                 rows.append((len(ids), raw, back) if texts else (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            names = ("n_tokens", "ids", "decoded") if texts else ("n_tokens", "ids_sha256", "decoded_sha256")
-            yield pd.DataFrame({"doc_id": frame["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(names)}})
+            return pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+
+        yield from memory.in_parts(batches, "text", SLICE, make)
 
     return run
 
@@ -116,12 +125,12 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A null text is an empty one: no tokens.  Row by row, without a shuffle; other columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInPandas(_run(path, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(_run(path, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As tokenize, with SHA-256 of ids and decoded text in place of both."""
-    return docs.select("doc_id", "text").mapInPandas(_run(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_run(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import repeats, scratch
+from matchloom.llm import memory, repeats, scratch
 from matchloom.llm.seqanchor import U64, Rolling, mix, word_symbols
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -102,8 +102,7 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, np.ndarra
     for i, j, buf, ends in repeats._slices(batch.column(at), True, SLICE):
         sym, start, _ = word_symbols(buf)
         yield i, j, sym, np.diff(np.searchsorted(start, ends), prepend=0)
-    # a worker that waits for its next task must not hold what Arrow keeps for reuse
-    pa.default_memory_pool().release_unused()
+    memory.give_back()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

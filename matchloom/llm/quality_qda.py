@@ -15,14 +15,17 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import scratch
+from matchloom.llm import memory, scratch
 
 THRESHOLD = 0.3
 #: Shrinkage towards the pooled covariance and towards the identity (of standardised statistics).
 TO_POOLED, TO_IDENTITY = 0.3, 0.1
+#: Bytes of texts measured between two results of a task (one text at least).
+SLICE = 1_000_000
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 SYMBOLS, BANGS, STOPS = b"#*$%&|<>{}[]\\^~=_", b"!?", b".,;:"
 NAMES = ["words", "word_length", "distinct", "top_word", "adjacent", "lines", "line_words", "dup_lines", "symbols", "bangs", "stops", "upper", "digits", "spaces", "long_words"]
@@ -59,9 +62,12 @@ def measure(text: str | None) -> list[float]:
     ]
 
 
-def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "x": [measure(t) for t in frame["text"]]})
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        x = pa.array([measure(t.as_py()) for t in part["text"]], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], x], names=["doc_id", "held_out", "x"])
+
+    return memory.in_parts(batches, "text", SLICE, make)
 
 
 def _moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +124,7 @@ def fit(sums: dict[int, np.ndarray]) -> Model | None:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and statistics x of every row (checkpointed: computed once, read by fit and scores)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return scratch.checkpoint(docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(_features, "doc_id long, held_out boolean, x array<double>"))
+    return scratch.checkpoint(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_features, "doc_id long, held_out boolean, x array<double>"))
 
 
 @dataclass(frozen=True)
@@ -167,9 +173,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs (all columns) that classify would predict 1; a row-wise filter, without a shuffle of texts."""
     fitted = train(measured(docs.select("doc_id", "text")), labels)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(fitted.scores([measure(t) for t in text]))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        found = pa.array(fitted.scores([measure(t.as_py()) for t in text]), pa.float64())
+        memory.give_back()
+        return found
 
     return docs.where(score("text") >= THRESHOLD)
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import repeats, scratch
+from matchloom.llm import memory, repeats, scratch
 from matchloom.llm.seqanchor import U64, Rolling, byte_symbols
 
 SEED, TILE, START, COVERAGE = 5, 5, 20, 0.5
@@ -120,6 +120,7 @@ def _scan(held: np.ndarray | None):
                     pairs = np.unique(np.stack([doc, h], 1), axis=0)
                     rows, cut = np.unique(pairs[:, 0], return_index=True)
                     yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(rows)) for i in range(4)), pa.ListArray.from_arrays(pa.array(np.append(cut, len(pairs)), pa.int32()), pa.array(pairs[:, 1]))], names=["kd", "kt", "doc_id", "text", "seeds"])
+            memory.give_back()
 
     return run
 
