@@ -108,10 +108,10 @@ def deep_shallow(items: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.
     stop = np.append(start[1:], n)
     for lo, hi in zip(start, stop):
         if hi - lo > 1:
-            tails = [items[i][SHALLOW:] for i in order[lo:hi]]
-            if length[order[lo]] <= SHALLOW:  # all of them end here: equal strings
-                lcp[lo + 1 : hi] = length[order[lo]]
+            if (longest := length[order[lo:hi]].max()) <= SHALLOW:  # all of them end here: equal strings
+                lcp[lo + 1 : hi] = longest
                 continue
+            tails = [items[i][SHALLOW:] for i in order[lo:hi]]
             rank, shared = blind_trie(tails)
             order[lo:hi] = order[lo:hi][rank]
             lcp[lo + 1 : hi] = SHALLOW + np.array(shared[1:])

@@ -80,6 +80,32 @@ def test_deep_shallow_order():
         assert lcp[k] == (same if group[order[k]] == group[order[k - 1]] else -1)
 
 
+def test_deep_shallow_group_starts_at_the_shallow_depth():
+    import numpy as np
+
+    stem = bytes(range(65, 65 + suffix_dedup.SHALLOW))
+    items = [stem, stem + b"zz", stem + b"ab", stem + b"abc", stem + b"ab", stem[:-1], stem]
+    order, lcp = suffix_dedup.deep_shallow(items, np.zeros(len(items), np.int64))
+    assert [items[i] for i in order] == sorted(items)
+    assert lcp.tolist() == [-1, 27, 28, 28, 30, 30, 28]
+
+
+def test_bytes_left_of_a_block_that_starts_at_the_shallow_depth():
+    import numpy as np
+
+    rnd = random.Random(8)
+    body = bytes(rnd.randrange(256) for _ in range(400))
+    q = 150
+    # the first holds exactly SHALLOW symbols left of the anchor, the others share 150; all are equal right of it
+    p = np.array([suffix_dedup.SHALLOW, q + 1, q + 1])
+    contents = [c[: k + suffix_dedup.WINDOW] for c, k in zip([body[q - suffix_dedup.SHALLOW :], b"x" + body, b"y" + body], p)]
+    n = p + 1
+    marks = suffix_dedup.solve(np.zeros(3, np.int64), np.ones(3, np.int64), n, p, contents)
+    seen = Counter(c[i : i + suffix_dedup.WINDOW] for c in contents for i in range(len(c) - suffix_dedup.WINDOW + 1))
+    for c, m in zip(contents, marks):
+        assert m.tolist() == [seen[c[i : i + suffix_dedup.WINDOW]] > 1 for i in range(len(m))]
+
+
 @pytest.mark.parametrize("block", [2000, 3])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(dart_dedup, "BLOCK", block)
