@@ -15,17 +15,19 @@ Nothing is sampled or capped: groups of any size are split, not cut.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import scratch
-from matchloom.llm.seqanchor import U64, Rolling, blocks, byte_symbols, mix, word_symbols
+from matchloom.llm.seqanchor import U64, Rolling, blocks, byte_symbols, word_symbols
 
 #: Symbols handled at a time, and per chunk (the unit of local combining).
 SLICE, CHUNK = 2_000_000, 12_000_000
@@ -99,11 +101,13 @@ def _describe(spec: Spec) -> Callable:
         held: list[dict] = []
         keys: list[tuple] = []
         symbols = docs = 0
+        number = itertools.count()
 
         def flush() -> pa.RecordBatch:
             kd, kt = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
             cols = {c: np.concatenate([h[c] for h in held]).astype(t) for c, t in KINDS.items()}
-            chunk = int(mix(np.array([np.bitwise_xor.reduce(mix(kd.view(U64) ^ mix(kt.view(U64) + np.arange(len(kd), dtype=U64)))), len(kd)], U64).cumsum(dtype=U64))[1].view(np.int64))
+            # unique also among chunks of equal rows; the table is written once, so it stays
+            chunk = (TaskContext.get().partitionId() << 32) + next(number)
             # only documents with a block are kept
             row = [[chunk], [kd.tobytes()], [kt.tobytes()], *([cols[c].tobytes()] for c in KINDS), [len(cols["a"])]]
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:-1]), pa.array(row[-1], pa.int64())], names=["chunk", "kd", "kt", *KINDS, "n_blocks"])

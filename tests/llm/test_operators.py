@@ -66,6 +66,20 @@ def test_words(spark, monkeypatch, group):
     assert got == want
 
 
+def test_twin_chunks(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7)))
+    texts = [[word() for _ in range(120)] for _ in range(12)]
+    twins = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    parts = [(100 + i, " ".join([*(word() for _ in range(60)), *t[30:100], *(word() for _ in range(60))])) for i, t in enumerate(texts)]
+    rows = twins + twins + parts
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")  # two partitions of equal rows
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(table).collect())
+    assert got == Counter((d, sum(g), bytes(b for b, f in zip(x, g) if not f)) for d, x, g in windows(rows, 200, str.encode))
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in rlz_dedup.remove_repeated_words(table).collect())
+    assert got == Counter((d, sum(g), b" ".join(w for w, f in zip(x, g) if not f)) for d, x, g in windows(rows, 35, lambda t: tuple(t.encode().split())))
+
+
 def test_deep_shallow_order():
     import numpy as np
 
