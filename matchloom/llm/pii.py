@@ -1,9 +1,10 @@
 """Personal data by pattern, and terms that disclose it by corpus co-occurrence.  DataFrame and SQL functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  A protected entity is the string of a base
-span.  A context is a distinct line of text, so that copies of a passage count once.  A capitalised term discloses an
-entity if they share SUPPORT contexts at least, P(entity | term) over contexts is SHARE at least, and seeing the term
-raises the entity's probability by BITS bits at least.  Disclosing terms become spans wherever they occur.
+span.  A context is a distinct line of text, so that copies of a passage count once.  A term is a word of two letters
+or more that starts with a capital or is of a script without case, outside base spans.  It discloses an entity if they
+share SUPPORT contexts at least, P(entity | term) over contexts is SHARE at least, and seeing the term raises the
+entity's probability by BITS bits at least.  Disclosing terms become spans wherever they occur.
 """
 
 from __future__ import annotations
@@ -24,9 +25,7 @@ PATTERNS = {
 #: What a text must contain for the pattern to be tried.
 GATES = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "term"]
-TERM = r"\p{Lu}\p{Ll}{2,}+"
-#: Words on either side of an entity in which terms are looked for.
-NEAR = 6
+TERM = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]++"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
 #: Slots of the fixed-size filter that tells which words need a closer look (bits in BUCKETS / 64 longs).
 BUCKETS = 1 << 16
@@ -97,26 +96,50 @@ def _may(x: Column, bits: list[int]) -> Column:
     return F.element_at(F.lit(bits), F.shiftright(b, 6) + 1).bitwiseAND(F.expr("bigint(1)").bitwiseAND(F.lit(1)) * F.element_at(F.lit([1 << i if i < 63 else -(1 << 63) for i in range(64)]), b % 64 + 1)) != 0
 
 
+def _filter(values: Column, of: DataFrame) -> list[int]:
+    """The filter that passes the values (some others too, but none of them is missed); empty if there are none."""
+    slots = [r[0] for r in of.select(_bucket(values)).distinct().collect()]
+    bits = [0] * (BUCKETS // 64 if slots else 0)
+    for s in slots:
+        bits[s // 64] |= 1 << (s % 64)
+    return [b - (1 << 64) if b >> 63 else b for b in bits]
+
+
+def _nth(text: Column, no: Column) -> Column:
+    return F.substring_index(F.call_function("substring_index", text, F.lit("\n"), no), "\n", -1)
+
+
+def entity_lines(rows: DataFrame) -> DataFrame:
+    """context, entities and terms (outside base spans) of the distinct lines that hold an entity.  No span crosses a line."""
+    def placed(e: Column) -> Column:
+        before = F.substring(F.col("text"), F.lit(1), e["start"])
+        return F.struct((F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).alias("no"), e["value"].alias("value"))
+
+    seen = rows.where(F.size("base") > 0).select("text", masked(F.col("text"), F.col("base")).alias("clean"), F.transform("base", placed).alias("placed"))
+    seen = seen.select("text", "clean", "placed", F.explode(F.array_distinct(F.transform("placed", lambda x: x["no"]))).alias("no"))
+    entities = F.array_distinct(F.transform(F.filter("placed", lambda x: x["no"] == F.col("no")), lambda x: x["value"]))
+    terms = F.array_distinct(F.regexp_extract_all(_nth(F.col("clean"), F.col("no")), F.lit(TERM), 0))
+    return seen.select(F.xxhash64(_nth(F.col("text"), F.col("no"))).alias("context"), entities.alias("entities"), terms.alias("terms")).dropDuplicates(["context"])
+
+
 def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """From rows(kd, kt, text, base): (terms(term), occurrences(kd, kt, term, start)), or None without candidates.
 
-    Everything is counted over all rows.  Only a filter of fixed size (BUCKETS bits) reaches the driver.
+    Everything is counted over all rows.  Only filters of fixed size (BUCKETS bits) reach the driver.
     """
-    seen = rows.where(F.size("base") > 0).select("text", F.explode("base").alias("e"))
-    lines = seen.select(F.col("e.value").alias("entity"), _line(F.col("text"), F.col("e.start"), F.col("e.end")).alias("l"))
-    left, right = F.filter(F.split("l.left", "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), F.filter(F.split("l.right", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    near = F.concat(F.slice(F.reverse(left), 1, NEAR), F.slice(right, 1, NEAR))
-    terms = F.array_distinct(F.flatten(F.transform(near, lambda w: F.regexp_extract_all(w, F.lit(TERM), 0))))
-    contexts = lines.select("entity", F.xxhash64("l.left", "entity", "l.right").alias("context"), terms.alias("terms")).dropDuplicates(["entity", "context"])
-    pairs = contexts.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = scratch.checkpoint(pairs)
-    slots = [r[0] for r in pairs.select(_bucket(F.col("term"))).distinct().collect()]
-    if not slots:
+    contexts = scratch.checkpoint(entity_lines(rows))
+    entities = contexts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("times")).where(F.col("times") >= SUPPORT)
+    often = _filter(F.col("entity"), entities)
+    if not often:
+        return None
+    pairs = contexts.select(F.explode(F.filter("entities", lambda x: _may(x, often))).alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    # a term is on `among` lines at least, so that pairs without the share among them can be left here
+    among = contexts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("among")).where(F.col("among") >= SUPPORT)
+    pairs = scratch.checkpoint(pairs.join(among, "term").where(F.col("both") / F.col("among") >= SHARE))
+    bits = _filter(F.col("term"), pairs)
+    if not bits:
         return None
-    bits = [0] * (BUCKETS // 64)
-    for s in slots:
-        bits[s // 64] |= 1 << (s % 64)
-    bits = [b - (1 << 64) if b >> 63 else b for b in bits]
     words = F.regexp_extract_all("text", F.lit(TERM), 0)
     held = rows.where(F.exists(words, lambda w: _may(w, bits)))
     pieces = F.arrays_zip(F.slice(F.split("text", TERM), 1, F.size(words)).alias("gap"), words.alias("value"))
@@ -128,14 +151,14 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         return F.struct((s + F.length(x["value"])).alias("at"), F.when(_may(x["value"], bits), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
     hits = held.select("kd", "kt", "text", F.explode(F.aggregate(pieces, start, step, lambda a: a["out"])).alias("h"))
-    end = F.col("h.start") + F.length("h.term")
-    hits = hits.select("kd", "kt", F.col("h.term").alias("term"), F.col("h.start").alias("start"), F.xxhash64(_line(F.col("text"), F.col("h.start"), end)["left"], F.col("h.term"), _line(F.col("text"), F.col("h.start"), end)["right"]).alias("context"))
+    line = _line(F.col("text"), F.col("h.start"), F.col("h.start") + F.length("h.term"))
+    hits = hits.select("kd", "kt", F.col("h.term").alias("term"), F.col("h.start").alias("start"), F.xxhash64(F.concat(line["left"], F.col("h.term"), line["right"])).alias("context"))
     hits = scratch.checkpoint(hits.join(pairs.select("term").distinct(), "term", "left_semi"))
     alone = hits.groupBy("term").agg(F.countDistinct("context").alias("alone"))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("times"))
-    total = contexts.agg(F.count("*")).first()[0]
-    share = F.col("both") / F.greatest("alone", "both")
-    terms = pairs.join(alone, "term").join(entities, "entity").where((share >= SHARE) & (F.log2(share * F.lit(float(total)) / F.col("times")) >= BITS)).select("term").distinct()
+    total = contexts.select(F.explode("entities")).count()
+    share = F.col("both") / F.greatest("alone", "among")
+    gain = F.log2(share * F.lit(float(total)) / F.col("times"))
+    terms = pairs.join(alone, "term").join(entities, "entity").where((share >= SHARE) & (gain >= BITS)).select("term").distinct()
     return terms, hits.select("kd", "kt", "term", "start")
 
 

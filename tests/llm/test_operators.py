@@ -260,6 +260,20 @@ def test_personal_data(spark):
     assert "<email>" in clean[0] and "@" not in clean[0] and clean[101] is None and clean[104] == rows[-2][1]
 
 
+def disclosed(spark, lines):
+    got = pii.find(frame(spark, list(enumerate(lines)))).select(F.explode("spans").alias("x"), "text").where("x.kind = 'term'").collect()
+    assert all(r.text[r.x["start"] : r.x["end"]] == r.x["value"] for r in got)
+    return {r.x["value"] for r in got}
+
+
+def test_terms_anywhere_in_the_line_and_of_any_script(spark):
+    far = " ".join(["and so it went on"] * 9)
+    lines = [f"Zorblax QZX 王小明 Bo {far} far@mail.example.com {far} Ünal {k}\nAbove {k}" for k in range(4)] + [f"And so on other{k}@mail.example.com" for k in range(80)]
+    assert disclosed(spark, lines) == {"Zorblax", "QZX", "王小明", "Bo", "Ünal"}
+    # the words of an entity are no terms
+    assert disclosed(spark, [x.replace("far@mail", "Far@Mail") for x in lines]) == {"Zorblax", "QZX", "王小明", "Bo", "Ünal"}
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there world\nSecond line here"), (1, 1, "assistant", "> Hello there world\n> Second line here\nSure, fine"), (1, 2, "user", "On Monday X wrote:\n>> Hello there world\n> Sure,   FINE\nno way"), (1, 3, "user", "unrelated"), (1, 4, "user", "> Second line here\n> bogus\nhm"), (2, 0, "user", None), (None, 1, "user", "> Sure, fine"), (1, 1, "assistant", "> Hello there world\n> Second line here\nSure, fine")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, thread string")
