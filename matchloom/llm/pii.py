@@ -4,7 +4,9 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers.  A protec
 span.  A context is a distinct line of text, so that copies of a passage count once.  A term is a word of two letters
 or more that starts with a capital or is of a script without case, outside base spans.  It discloses an entity if they
 share SUPPORT contexts at least, P(entity | term) over contexts is SHARE at least, and seeing the term raises the
-entity's probability by BITS bits at least.  Disclosing terms become spans wherever they occur.
+entity's probability by BITS bits at least.  A frequent entity's probability cannot rise so far: there P(entity | term)
+must be CERTAIN at least and the shared contexts must bring SUPPORT * BITS bits together.  Everything is counted over
+all distinct lines.  Disclosing terms become spans wherever they occur.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ PATTERNS = {
 GATES = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "term"]
 TERM = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]++"
-SUPPORT, SHARE, BITS = 3, 0.5, 4.0
+SUPPORT, SHARE, BITS, CERTAIN = 3, 0.5, 4.0, 0.9
 #: Slots of the fixed-size filter that tells which words need a closer look (bits in BUCKETS / 64 longs).
 BUCKETS = 1 << 16
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -155,10 +157,11 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     hits = hits.select("kd", "kt", F.col("h.term").alias("term"), F.col("h.start").alias("start"), F.xxhash64(F.concat(line["left"], F.col("h.term"), line["right"])).alias("context"))
     hits = scratch.checkpoint(hits.join(pairs.select("term").distinct(), "term", "left_semi"))
     alone = hits.groupBy("term").agg(F.countDistinct("context").alias("alone"))
-    total = contexts.select(F.explode("entities")).count()
+    total = rows.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("context")).distinct().count()
     share = F.col("both") / F.greatest("alone", "among")
     gain = F.log2(share * F.lit(float(total)) / F.col("times"))
-    terms = pairs.join(alone, "term").join(entities, "entity").where((share >= SHARE) & (gain >= BITS)).select("term").distinct()
+    tells = (gain >= BITS) | ((share >= CERTAIN) & (F.col("both") * gain >= SUPPORT * BITS))
+    terms = pairs.join(alone, "term").join(entities, "entity").where((share >= SHARE) & tells).select("term").distinct()
     return terms, hits.select("kd", "kt", "term", "start")
 
 

@@ -266,6 +266,16 @@ def disclosed(spark, lines):
     return {r.x["value"] for r in got}
 
 
+def test_terms_of_a_frequent_entity(spark):
+    hot = [f"Contact Zorblax via hot@mail.example.com about {k}" for k in range(12)]
+    rare = [f"Contact Quuxly via rare@mail.example.com about {k}" for k in range(3)]
+    rest = [f"Contact us about {k}" for k in range(50)]
+    # hot: a third of the lines and 12 of 15 lines with entities, at most 1.6 bits; rare: 3 of 53 lines, 4.1 bits
+    assert disclosed(spark, hot + rest[:24]) == {"Zorblax"}
+    assert disclosed(spark, rare + rest) == {"Quuxly"}
+    assert disclosed(spark, rare + rest[:5]) == disclosed(spark, hot[:3] + rest[:6]) == set()
+
+
 def test_terms_anywhere_in_the_line_and_of_any_script(spark):
     far = " ".join(["and so it went on"] * 9)
     lines = [f"Zorblax QZX 王小明 Bo {far} far@mail.example.com {far} Ünal {k}\nAbove {k}" for k in range(4)] + [f"And so on other{k}@mail.example.com" for k in range(80)]
