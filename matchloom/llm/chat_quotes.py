@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.  DataFrame and SQL functions only.
 
 Lines that start with `>` are quotes; the number of marks is the level.  Neighbouring lines of one level are a passage.
-A quoted passage of level 1, normalised and hashed, is joined to the first message of its conversation that says it
-(as a passage, a line or its whole own text); a passage that nobody says whole is looked up line by line.  The
-message that says most quoted words, the latest one in ties, is what a message replies to.  Replies are followed to
-their first message by pointer jumping; (conv_id, thread, turn) is the reply order.  No group is ever collected.
+A quoted passage of any level, normalised and hashed, is joined to the first message of its conversation that says it
+(as a passage, a line or its whole own text); a passage that nobody says whole is looked up line by line.  Of the
+shallowest level that is found, the message that says most quoted words, the latest one in ties, is what a message
+replies to; the links of all levels are kept.  Replies are followed to their first message by pointer jumping;
+(conv_id, thread, turn) is the reply order.  Nothing but the links of one message is ever collected.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def normalise(x: Column) -> Column:
 
 
 def link(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quotes, reply_to, thread, depth: one row per row of the input.
+    """conv_id, turn, role, text (without quotes), n_quotes, reply_to, thread, depth, links: one row per row of the input.
 
+    links: (level, source, words) of every message that a quote of that level is from, sorted.
     Null texts are empty.  Rows with a null conv_id or turn, and messages that quote nothing known, start a thread of
     their own (reply_to null, depth 0).  Of rows that repeat conv_id and turn, all say what any of them says.
     """
@@ -54,9 +56,9 @@ def link(conversations: DataFrame) -> DataFrame:
     own = F.filter("parts", lambda p: p["level"] == 0)
     said = F.array_join(F.transform(own, lambda p: p["text"]), "\n")
     rows = rows.select("conv_id", "turn", "role", "parts", said.alias("said"), F.size(F.filter("parts", lambda p: p["level"] > 0)).alias("n_quotes"))
-    quotes = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.filter("parts", lambda p: p["level"] == 1)).alias("q"))
-    wanted = quotes.select("conv_id", "turn", normalise(F.col("q.text")).alias("whole"), F.explode(F.concat(F.array(F.col("q.text")), F.split("q.text", "\n"))).alias("text"))
-    wanted = wanted.select("conv_id", "turn", "whole", normalise(F.col("text")).alias("text")).where("text <> ''").distinct()
+    quotes = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.filter("parts", lambda p: p["level"] > 0)).alias("q"))
+    wanted = quotes.select("conv_id", "turn", F.col("q.level").alias("level"), normalise(F.col("q.text")).alias("whole"), F.explode(F.concat(F.array(F.col("q.text")), F.split("q.text", "\n"))).alias("text"))
+    wanted = wanted.select("conv_id", "turn", "level", "whole", normalise(F.col("text")).alias("text")).where("text <> ''").distinct()
     wanted = scratch.checkpoint(wanted.withColumn("hash", F.sha2("text", 256)))
     talk = wanted.select("conv_id").distinct()
     units = F.concat(F.array("said"), F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), F.split("said", "\n"))
@@ -64,9 +66,11 @@ def link(conversations: DataFrame) -> DataFrame:
     first = sayings.groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     hits = wanted.join(first, ["conv_id", "hash"]).where("source < turn").withColumn("words", F.size(F.split("text", " ")))
     # a passage found whole counts once; its lines only otherwise
-    best = hits.groupBy("conv_id", "turn", "whole", "source").agg(F.max(F.when(F.col("text") == F.col("whole"), F.col("words"))).alias("all"), F.sum("words").alias("some"))
-    score = best.groupBy("conv_id", "turn", "source").agg(F.sum(F.coalesce("all", "some")).alias("words"))
-    reply = scratch.checkpoint(score.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "source")).alias("m")).select("conv_id", "turn", F.col("m.source").alias("reply_to")))
+    best = hits.groupBy("conv_id", "turn", "level", "whole", "source").agg(F.max(F.when(F.col("text") == F.col("whole"), F.col("words"))).alias("all"), F.sum("words").alias("some"))
+    score = best.groupBy("conv_id", "turn", "level", "source").agg(F.sum(F.coalesce("all", "some")).alias("words"))
+    nearest = F.max(F.struct((-F.col("level")).alias("near"), "words", "source"))
+    reply = score.groupBy("conv_id", "turn").agg(nearest.alias("m"), F.sort_array(F.collect_list(F.struct("level", "source", "words"))).alias("links"))
+    reply = scratch.checkpoint(reply.select("conv_id", "turn", F.col("m.source").alias("reply_to"), "links"))
     up = scratch.checkpoint(reply.select("conv_id", "turn", F.col("reply_to").alias("top"), F.lit(1).alias("depth")))
     while True:
         over = up.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
@@ -77,7 +81,7 @@ def link(conversations: DataFrame) -> DataFrame:
         up = up.drop("moved")
     found = rows.select("conv_id", "turn", "role", F.trim(F.regexp_replace("said", "\\n{3,}", "\n\n")).alias("text"), "n_quotes")
     found = found.join(reply, ["conv_id", "turn"], "left").join(up.drop("moved"), ["conv_id", "turn"], "left")
-    return found.select("conv_id", "turn", "role", "text", "n_quotes", "reply_to", F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    return found.select("conv_id", "turn", "role", "text", "n_quotes", "reply_to", F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("links", F.array().cast(reply.schema["links"].dataType)).alias("links"))
 
 
 def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,14 @@ def test_quotes(spark):
     assert chat_quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_of_deeper_levels(spark):
+    rows = [(1, 0, "first thing said"), (1, 1, "second thing said"), (1, 2, ">> first thing said\nI add this"), (1, 3, ">>> first thing said\n>> unknown words\n> unknown too\nhm"), (1, 4, "> second thing said\n>> first thing said\nyes"), (1, 5, ">> nobody said it\nno")]
+    got = {r.turn: r for r in chat_quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r.reply_to for t, r in got.items()} == {0: None, 1: None, 2: 0, 3: 0, 4: 1, 5: None}
+    assert {t: [(x["level"], x["source"]) for x in r.links] for t, r in got.items()} == {0: [], 1: [], 2: [(2, 0)], 3: [(3, 0)], 4: [(1, 1), (2, 0)], 5: []}
+    assert {t: (r.thread, r.depth) for t, r in got.items()} == {0: (0, 0), 1: (1, 0), 2: (0, 1), 3: (0, 1), 4: (1, 1), 5: (5, 0)}
+
+
 def test_tokens(spark):
     import numpy as np
     import public_tokenizers
