@@ -156,6 +156,18 @@ def block_keys(spark, d):
     return k.groupBy("type").agg(F.count("*").alias("keys"), F.countDistinct("country", "token").alias("terms"))
 
 
+@register("""WITH r AS (SELECT p_partkey AS id, p_brand AS country, p_name, p_size || ' ' || lower(p_type) || ' rd' AS address FROM part),
+ k AS (SELECT id, country, 3 AS type, unnest(list_filter(list_distinct(string_split(address, ' ')), lambda w: len(w) >= 2)) AS token FROM r
+ UNION ALL SELECT id, country, 4, unnest(list_distinct(list_transform(range(1, len(address)), lambda i: substr(' ' || address || ' ', i, 4)))) FROM r
+ UNION ALL SELECT id, country, 5, unnest(list_filter(list_distinct(string_split(p_name, ' ')), lambda w: len(w) >= 2)) FROM r
+ UNION ALL SELECT id, country, 6, address FROM r)
+ SELECT type, count(*) AS keys, count(DISTINCT country || '|' || token) AS terms FROM k GROUP BY type""")
+def block_keys_address(spark, d):
+    """The key types that block_keys leaves out: address tokens and 4-grams, phonetic tokens and whole addresses."""
+    k = blocking.keys(_names(spark, d)).where("type > 2")
+    return k.groupBy("type").agg(F.count("*").alias("keys"), F.countDistinct("country", "token").alias("terms"))
+
+
 @register()
 def block_candidates(spark, d):
     """All of B1-B11 on part names within a brand (order-dependent budgets: checked against Python in the tests)."""

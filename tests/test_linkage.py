@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from matchloom import registry
 from matchloom.functions import similarity as S
 from matchloom.functions import text as T
 from matchloom.operators import decide, evaluate, rules, synth
@@ -145,3 +146,9 @@ def test_generated_world_is_matched(spark):
     same = t.select("tid", F.col("name_core").alias("c")).join(a.select(F.col("id").alias("aid"), F.col("name_core").alias("c")), "c").select("tid", "aid")
     equal = evaluate.macro(a.select(F.col("id").alias("aid")), same, truth).first()
     assert score["macro_f05"] > equal["macro_f05"]
+
+
+def test_all_key_types_have_a_twin(spark):
+    both = [registry.queries()[n](spark, "/root/testdata/sf0.001").collect() for n in ("block_keys", "block_keys_address")]
+    assert sorted(r.type for rows in both for r in rows) == list(range(7))
+    assert {"block_keys", "block_keys_address"} <= set(registry.oracles())
