@@ -1,38 +1,38 @@
 """Language identification with unigram piece models, marginalised over segmentations.
 
-Per language, pieces of a fixed public vocabulary have probabilities; the probability of a word is the sum over all ways
-to cut it into pieces (forward algorithm), that of a text the product over its words.  Probabilities are estimated by
-expectation-maximisation over the words of a bounded sample of labelled rows (SAMPLE).  Scoring works on distinct words,
-vectorised by word length.
+Per language, every piece of a fixed public vocabulary has a probability; the probability of a word is the sum over all
+ways to cut it into pieces (forward algorithm, any length), that of a text the product over its words.  Probabilities
+are estimated by expectation-maximisation over the words of a bounded sample of labelled rows of each language
+(SAMPLE).  Scoring works on distinct words, vectorised over words of one length.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.seqanchor import U64, Rolling, mix
 
-#: Labelled rows to learn from, about: rows are taken by a hash of doc_id, whole texts.  EM rounds over their words.
-SAMPLE, ROUNDS = 2500, 2
-#: Words are scored in stretches of so many characters at most (word mark included); longest piece used.
-STRETCH, PIECE = 32, 12
+#: Labelled rows of each language to learn from, about: rows are taken by a hash of id and text, whole texts.
+SAMPLE, ROUNDS = 800, 2
+#: Positions between two rescalings of forward and backward sums, and lattice cells (word, position, piece) held at once.
+STEP, CELLS = 16, 1_000_000
 #: Probability of a character that no piece covers, and smoothing of piece counts.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _symbols(codes: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def _symbols(codes: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces by hash: an open-addressed table in NumPy arrays."""
+    """All ordinary pieces by hash: an open-addressed table in NumPy arrays.  reach: length of the longest piece."""
 
     BITS = 18
 
@@ -49,7 +49,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= PIECE]
+        self.pieces = [p for p in dict.fromkeys(pieces) if p]
+        self.reach = max(map(len, self.pieces))
         codes = _codes(self.pieces)
         end = np.cumsum([len(p) for p in self.pieces])
         start = np.concatenate(([0], end[:-1]))
@@ -67,16 +68,19 @@ class Vocabulary:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
         at = (keys >> U64(64 - self.BITS)).astype(np.int64)
-        out = np.where(self.key[at] == keys, self.value[at], -1)
-        rest = np.flatnonzero((out < 0) & (self.value[at] >= 0))
+        value = self.value[at]
+        out = np.where(self.key[at] == keys, value, -1)
+        rest = np.flatnonzero((out < 0) & (value >= 0))
+        at = at[rest]
         for _ in range(self.probes - 1):
             if not len(rest):
                 break
-            at[rest] = (at[rest] + 1) % len(self.key)
-            now = self.value[at[rest]]
-            hit = (now >= 0) & (self.key[at[rest]] == keys[rest])
+            at = (at + 1) % len(self.key)
+            now = self.value[at]
+            hit = (now >= 0) & (self.key[at] == keys[rest])
             out[rest[hit]] = now[hit]
-            rest = rest[~hit & (now >= 0)]
+            more = ~hit & (now >= 0)
+            rest, at = rest[more], at[more]
         return out
 
 
@@ -87,48 +91,92 @@ def vocabulary(path: str | None) -> Vocabulary:
     return Vocabulary(path or public_tokenizers.path(VOCABULARY))
 
 
-def stretches(word: str) -> list[str]:
-    word = MARK + word
-    return [word] if len(word) <= STRETCH else [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+class Lattice:
+    """Words of one length side by side, and which pieces end at which position."""
 
+    def __init__(self, words: list[str], voc: Vocabulary) -> None:
+        self.n, self.length, self.voc = len(words), len(words[0]), voc
+        self.roll = Rolling(_symbols(_codes(words)))
+        self.starts = range(0, self.length, STEP)
+        self.reach = min(voc.reach, self.length)
 
-def lattices(words: list[str], voc: Vocabulary) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
-    """Groups of words of one length: their indices, arcs (from, to), piece per word and arc (-1: none)."""
+    def pieces(self, s: int) -> np.ndarray:
+        """[word, position s + 1.., k] index of the piece of reach - k characters that ends there (-1: none)."""
+        end = np.arange(s + 1, min(s + STEP, self.length) + 1)
+        j, i = np.broadcast_arrays(end[:, None], end[:, None] - np.arange(self.reach, 0, -1))
+        fits = np.flatnonzero(i.ravel() >= 0)
+        base = (np.arange(self.n) * self.length)[:, None]
+        found = np.full((self.n, i.size), -1, np.int32)
+        found[:, fits] = self.voc.find(self.roll.ranges((base + i.ravel()[fits]).ravel(), (base + j.ravel()[fits]).ravel())).reshape(self.n, len(fits))
+        return found.reshape(self.n, *i.shape)
+
+
+def lattices(words: list[str], voc: Vocabulary) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Groups of words of one length, with their indices."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(size):
-        for rows in np.array_split(members := np.flatnonzero(size == length), -(-len(members) // 20000)):
-            roll = Rolling(_symbols(_codes([words[i] for i in rows])))
-            base = np.arange(len(rows)) * length
-            arcs = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - PIECE), j)]
-            found = np.stack([voc.find(roll.ranges(base + i, base + j)) for i, j in arcs], 1)
-            yield rows, arcs, found
-
-
-def forward(arcs: list, weight: np.ndarray, length: int) -> np.ndarray:
-    """alpha[n, 0..length] by summing over segmentations; weight: probability per word and arc."""
-    alpha = np.zeros((len(weight), length + 1))
-    alpha[:, 0] = 1
-    for k, (i, j) in enumerate(arcs):
-        alpha[:, j] += alpha[:, i] * weight[:, k]
-    return alpha
-
-
-def _weights(prob: np.ndarray, arcs: list, found: np.ndarray) -> np.ndarray:
-    w = np.append(prob, 0.0)[found]
-    single = np.array([j - i == 1 for i, j in arcs])
-    w[:, single] = np.maximum(w[:, single], UNKNOWN)
+    order = np.argsort(size, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+        most = max(1, CELLS // (min(int(size[members[0]]), STEP) * voc.reach))
+        for lo in range(0, len(members), most):
+            rows = members[lo : lo + most]
+            yield rows, Lattice([words[i] for i in rows], voc)
+
+
+def _weights(table: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Probability of each arc (last row of the table: none); a character without a piece has UNKNOWN."""
+    w = table[found]
+    w[:, :, -1] = np.maximum(w[:, :, -1], UNKNOWN)
     return w
 
 
+def _table(probs: np.ndarray) -> np.ndarray:
+    return np.concatenate([probs.T.astype(float), np.zeros((1, len(probs)))])
+
+
 def log_probabilities(words: list[str], probs: np.ndarray, voc: Vocabulary) -> np.ndarray:
-    """[words, languages] natural logarithms of word probabilities (words of at most STRETCH characters, mark included)."""
+    """[words, languages] natural logarithms of word probabilities: sums over all segmentations, rescaled on the way."""
     out = np.zeros((len(words), len(probs)))
-    for rows, arcs, found in lattices(words, voc):
-        for c, prob in enumerate(probs):
-            out[rows, c] = np.log(forward(arcs, _weights(prob, arcs, found), arcs[-1][1])[:, -1])
+    table = _table(probs)
+    for rows, lat in lattices(words, voc):
+        r = lat.reach
+        a = np.zeros((lat.n, r + STEP, len(probs)))
+        a[:, r - 1] = 1
+        logs = np.zeros((lat.n, len(probs)))
+        for s in lat.starts:
+            w = _weights(table, lat.pieces(s))
+            m = w.shape[1]
+            for t in range(m):
+                a[:, r + t] = np.einsum("nkc,nkc->nc", a[:, t : r + t], w[:, t])
+            last = a[:, m : m + r].copy()
+            top = last.max(1)
+            logs += np.log(top)
+            a[:, :r] = last / top[:, None]
+        out[rows] = logs + np.log(a[:, r - 1])
     return out
 
 
+def expected(lat: Lattice, times: np.ndarray, prob: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses of each piece (last entry: of no piece) in words that occur so many times; in logarithms."""
+    r, table = lat.reach, _table(prob[None])
+    alpha, beta = (np.full((lat.n, r + lat.length), -np.inf) for _ in range(2))
+    alpha[:, r - 1], beta[:, -1] = 0, np.log(times)
+    with np.errstate(divide="ignore"):
+        for s in lat.starts:
+            w = np.log(_weights(table, lat.pieces(s))[..., 0])
+            for t in range(w.shape[1]):
+                alpha[:, r + s + t] = np.logaddexp.reduce(alpha[:, s + t : r + s + t] + w[:, t], axis=1)
+        beta[:, -1] -= alpha[:, -1]
+        for s in reversed(lat.starts):
+            found = lat.pieces(s)
+            w = np.log(_weights(table, found)[..., 0])
+            for t in reversed(range(w.shape[1])):
+                through = w[:, t] + beta[:, r + s + t, None]
+                at = slice(s + t, r + s + t)
+                uses = np.exp(alpha[:, at] + through)
+                total += np.bincount(found[:, t].ravel() % len(total), uses.ravel(), minlength=len(total))
+                beta[:, at] = np.logaddexp(beta[:, at], through)
+
+
 def learn(counts: dict[str, Counter], voc: Vocabulary) -> tuple[list[str], np.ndarray]:
     """Languages and [languages, pieces] probabilities from word counts per language."""
     langs = sorted(counts)
@@ -136,19 +184,10 @@ def learn(counts: dict[str, Counter], voc: Vocabulary) -> tuple[list[str], np.nd
     for c, lang in enumerate(langs):
         words = list(counts[lang])
         times = np.fromiter(counts[lang].values(), float, len(words))
-        groups = list(lattices(words, voc))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS if words else 0):
             total = np.full(len(voc.pieces) + 1, SMOOTH)
-            for rows, arcs, found in groups:
-                w, length = _weights(probs[c], arcs, found), arcs[-1][1]
-                alpha = forward(arcs, w, length)
-                beta = np.zeros_like(alpha)
-                beta[:, length] = times[rows] / alpha[:, length]
-                for k in range(len(arcs) - 1, -1, -1):
-                    i, j = arcs[k]
-                    step = w[:, k] * beta[:, j]
-                    beta[:, i] += step
-                    total += np.bincount(found[:, k], alpha[:, i] * step, minlength=len(total)) if (found[:, k] >= 0).all() else np.bincount(np.where(found[:, k] < 0, len(total) - 1, found[:, k]), alpha[:, i] * step, minlength=len(total))
+            for rows, lat in lattices(words, voc):
+                expected(lat, times[rows], probs[c], total)
             probs[c] = total[:-1] / total[:-1].sum()
     return langs, probs
 
@@ -157,38 +196,32 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, Counter] = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
-            own = total.setdefault(lang, Counter())
-            for word, k in Counter(text.split()).items():
-                for s in stretches(word):
-                    own[s] += k
+            total.setdefault(lang, Counter()).update(MARK + w for w in text.split())
     for lang, own in total.items():
         yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
 
 
 class Scorer:
-    """Scores texts; remembers words it has met (MEMORY at most, then starts afresh)."""
+    """Scores texts; remembers words it has met (MEMORY characters at most, then starts afresh)."""
 
-    MEMORY = 1_000_000
+    MEMORY = 12_000_000
 
     def __init__(self, langs: list[str], probs: np.ndarray, voc: Vocabulary) -> None:
         self.langs, self.probs, self.voc = langs, probs, voc
         self.known: dict[str, int] = {}
-        self.logs = np.empty((0, len(langs)))
+        self.logs, self.size = np.empty((0, len(langs))), 0
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         counts = [Counter(t.split()) if t and LETTER.search(t) else None for t in texts]
         fresh = list({w for c in counts if c for w in c if w not in self.known})
-        if len(self.known) + len(fresh) > self.MEMORY:
-            self.known, self.logs = {}, self.logs[:0]
+        if self.size + sum(map(len, fresh)) > self.MEMORY:
+            self.known, self.logs, self.size = {}, self.logs[:0], 0
             fresh = list({w for c in counts if c for w in c})
-        if fresh:
-            parts = [stretches(w) for w in fresh]
-            owner = np.repeat(np.arange(len(fresh)), [len(p) for p in parts])
-            logs = log_probabilities([s for p in parts for s in p], self.probs, self.voc)
-            new = np.zeros((len(fresh), len(self.langs)))
-            np.add.at(new, owner, logs)
+        if fresh and self.langs:
+            new = log_probabilities([MARK + w for w in fresh], self.probs, self.voc)
             self.known.update(zip(fresh, range(len(self.logs), len(self.logs) + len(fresh))))
             self.logs = np.concatenate([self.logs, new])
+            self.size += sum(map(len, fresh))
         best, score = [], np.zeros(len(texts))
         for i, c in enumerate(counts):
             if not c or not self.langs:
@@ -206,14 +239,17 @@ def identify(docs: DataFrame, held_out: str, path: str | None = None) -> DataFra
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang).
 
     held_out: SQL condition on doc_id (null: false).  Learns from rows that are not held out and whose lang and text
-    are not null.  A text that is null or has no letter is `und` with score 0, and so is every text if nothing could
-    be learned.  Ties go to the language that sorts first.
+    are not null, about SAMPLE rows of each lang, however rare it is (all if it has fewer); repeated rows are taken
+    together.  A text that is null or has no letter (Unicode category L) is `und` with score 0, and so is every text
+    if nothing could be learned.  Ties go to the language that sorts first.  Words of any length are summed whole, in
+    memory of about 100 bytes a character of the longest word.  Columns other than doc_id, text, lang are ignored.
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     known = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
-    n = known.select(F.lit(1)).count()
-    share = min(1.0, SAMPLE / n) if n else 1.0
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # one row per language, as the model itself has
+    rows_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    part = F.create_map(*(F.lit(x) for k, n in rows_of.items() for x in (k, int(min(1.0, SAMPLE / n) * (1 << 40))))) if rows_of else F.lit(None).cast("map<string,bigint>")
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < part[F.col("lang")])
     counts: dict[str, Counter] = {}
     for r in sample.select("lang", "text").mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]

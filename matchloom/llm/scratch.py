@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, local mode) a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")

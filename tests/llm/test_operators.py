@@ -232,17 +232,51 @@ def test_forward_sums_all_segmentations():
     at = {p: i for i, p in enumerate(voc.pieces)}
 
     def total(s):
+        sums = [1.0]
+        for j in range(1, len(s) + 1):
+            arcs = [(i, max(prob[at[s[i:j]]] if s[i:j] in at else 0.0, langid.UNKNOWN if j - i == 1 else 0.0)) for i in range(max(0, j - voc.reach), j)]
+            sums.append(sum(sums[i] * p for i, p in arcs))
+        return sums[-1]
+
+    words = ["▁the", "▁station", "x", "▁日z", "▁professional", "▁relationship", "▁" + "relationship日" * 6, "=" * 50]
+    got = langid.log_probabilities(words, prob[None], voc)[:, 0]
+    assert np.allclose(got, [np.log(total(w)) for w in words], rtol=1e-12)
+
+
+def test_expected_pieces_against_all_segmentations():
+    import numpy as np
+
+    voc = langid.vocabulary(None)
+    prob = np.random.default_rng(2).random(len(voc.pieces)) * 1e-2
+    at = {p: i for i, p in enumerate(voc.pieces)}
+
+    def cuts(s):
         if not s:
-            return 1.0
-        out = 0.0
-        for k in range(1, min(len(s), langid.PIECE) + 1):
-            p = prob[at[s[:k]]] if s[:k] in at else 0.0
-            out += max(p, langid.UNKNOWN if k == 1 else 0.0) * total(s[k:])
-        return out
-
-    words = ["▁the", "▁station", "x", "▁日z"]
-    got = np.exp(langid.log_probabilities(words, prob[None], voc))[:, 0]
-    assert np.allclose(got, [total(w) for w in words])
+            yield []
+        for k in range(1, min(len(s), voc.reach) + 1):
+            if s[:k] in at or k == 1:
+                yield from ([s[:k], *rest] for rest in cuts(s[k:]))
+
+    words, times = ["▁station", "▁the", "▁日abc"], [3.0, 5.0, 2.0]
+    want = Counter()
+    for w, n in zip(words, times):
+        ways = [(c, np.prod([max(prob[at[x]] if x in at else 0.0, langid.UNKNOWN if len(x) == 1 else 0.0) for x in c])) for c in cuts(w)]
+        for c, p in ways:
+            for x in c:
+                want[at.get(x, -1)] += n * p / sum(q for _, q in ways)
+    total = np.zeros(len(voc.pieces) + 1)
+    for rows, lat in langid.lattices(words, voc):
+        langid.expected(lat, np.array(times)[rows], prob, total)
+    assert np.isclose(total[-1], want.pop(-1, 0)) and np.isclose(total.sum() - total[-1], sum(want.values()))
+    assert all(np.isclose(total[i], x) for i, x in want.items())
+
+
+def test_language_has_no_letter_in_numbers_and_learns_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    rows = [(None, f"bake lomi bakelo mi{k}", "xx") for k in range(3000)] + [(None, f"schrung einzt ungzt{k}", "yy") for k in range(20)]
+    rows += [(1, "12 ½ ² Ⅷ!", None), (2, "12 ³", None), (3, "einzt schrung", None), (4, "bakelo" * 4000, None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "false").collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 4)] == ["und", "und", "yy", "xx"] and got[1].score == 0
 
 
 def test_personal_data(spark):
