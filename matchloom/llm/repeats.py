@@ -145,9 +145,11 @@ def _dest(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key.view(U64) >> U64(17)) % U64(parts)).astype(np.int64)
 
 
-def _runs(dest: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(dest: np.ndarray) -> dict[int, np.ndarray]:
+    """Places of each destination that occurs, so that the work grows with the entries, not with the destinations."""
     order = np.argsort(dest, kind="stable")
-    return order, np.searchsorted(dest[order], np.arange(parts + 1))
+    cut = np.flatnonzero(np.diff(dest[order])) + 1
+    return {int(dest[x[0]]): x for x in np.split(order, cut)} if len(order) else {}
 
 
 def _ask(parts: int) -> Callable:
@@ -157,9 +159,8 @@ def _ask(parts: int) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 ub, _, count, ua, _, single = _distinct(np.frombuffer(row["body"], np.int64), np.frombuffer(row["anchor"], np.int64))
-                ob, cb = _runs(_dest(ub, parts), parts)
-                oa, ca = _runs(_dest(ua, parts), parts)
-                out = [(d, row["chunk"], ub[x := ob[cb[d] : cb[d + 1]]].tobytes(), count[x].tobytes(), ua[y := oa[ca[d] : ca[d + 1]]].tobytes(), single[y].tobytes()) for d in range(parts) if cb[d] < cb[d + 1] or ca[d] < ca[d + 1]]
+                at_b, at_a, none = _runs(_dest(ub, parts)), _runs(_dest(ua, parts)), np.empty(0, np.int64)
+                out = [(d, row["chunk"], ub[x := at_b.get(d, none)].tobytes(), count[x].tobytes(), ua[y := at_a.get(d, none)].tobytes(), single[y].tobytes()) for d in sorted(at_b.keys() | at_a.keys())]
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=names)
@@ -215,11 +216,9 @@ def _apply(spec: Spec, parts: int) -> Callable:
             ub, back_b, _, ua, back_a, _ = _distinct(c["body"], c["anchor"])
             got = []
             for i, (key, back) in enumerate(((ub, back_b), (ua, back_a))):
-                order, cut = _runs(_dest(key, parts), parts)
                 flag = np.zeros(len(key), np.uint8)
-                for d in range(parts):
-                    if cut[d] < cut[d + 1]:
-                        flag[order[cut[d] : cut[d + 1]]] = flags[d][i]
+                for d, at in _runs(_dest(key, parts)).items():
+                    flag[at] = flags[d][i]
                 got.append(flag[back])
             repeated, leader, mixed = got[0] & 1 > 0, got[0] & 2 > 0, got[1] > 0
             first = np.zeros(len(back_b), bool)
@@ -316,9 +315,8 @@ def _shard_ask(spec: Spec, parts: int) -> Callable:
         key, back = np.unique(np.concatenate(found), return_inverse=True)
         key = key.view(np.int64)
         count = np.minimum(np.bincount(back, np.repeat(weight, n)), 2).astype(np.uint8)
-        order, cut = _runs(_dest(key, parts), parts)
         anchor, salt = rows["anchor"].iloc[0], rows["salt"].iloc[0]
-        return pd.DataFrame([(d, anchor, salt, key[x := order[cut[d] : cut[d + 1]]].tobytes(), count[x].tobytes()) for d in range(parts) if cut[d] < cut[d + 1]], columns=["dest", "anchor", "salt", "key", "count"])
+        return pd.DataFrame([(d, anchor, salt, key[x].tobytes(), count[x].tobytes()) for d, x in _runs(_dest(key, parts)).items()], columns=["dest", "anchor", "salt", "key", "count"])
 
     return run
 
@@ -351,7 +349,7 @@ def repeated(docs: DataFrame, spec: Spec) -> DataFrame:
     table = scratch.Table(docs.select("kd", "kt", "text").mapInArrow(_describe(spec), R_SCHEMA), "blocks")
     described = table.read()
     total = described.agg(F.sum("n_blocks")).first()[0] or 0
-    parts = max(4 * width, -(-total // ENTRIES))
+    parts = max(4 * width, -(-total // ENTRIES))  # an answering group holds ENTRIES entries, however many there are
     ask = described.select("chunk", "body", "anchor").mapInArrow(_ask(parts), "dest long, chunk long, body binary, count binary, anchor binary, single binary")
     answers = ask.groupBy("dest").applyInPandas(_answer, "chunk long, dest long, body binary, anchor binary")
     found = described.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_apply(spec, parts), "kd long, kt long, spans binary, asked binary")
@@ -363,6 +361,9 @@ def repeated(docs: DataFrame, spec: Spec) -> DataFrame:
     hot = scratch.checkpoint(sizes.where(F.col("count") > GROUP).select("anchor", F.ceil(F.col("count") / GROUP).cast("int").alias("shards")))
     some_hot = not hot.isEmpty()
     if some_hot:
+        # windows of sharded blocks, an entry each at most: answering groups hold ENTRIES of them too
+        windows = asked.join(hot, "anchor", "left_semi").agg(F.sum("n")).first()[0]
+        shard_parts = max(width, -(-windows // ENTRIES))
         asked = asked.join(hot, "anchor", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("kd", "kt", "a"), F.col("shards")).cast("int"), F.lit(-1))).drop("shards")
     else:
         asked = asked.withColumn("salt", F.lit(-1))
@@ -372,7 +373,7 @@ def repeated(docs: DataFrame, spec: Spec) -> DataFrame:
     solved = rows.where("salt < 0").repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInPandas(_solve_sorted(spec), S_SCHEMA)
     if some_hot:
         shards = rows.where("salt >= 0")
-        keys = shards.groupBy("anchor", "salt").applyInPandas(_shard_ask(spec, width), "dest long, anchor long, salt int, key binary, count binary")
+        keys = shards.groupBy("anchor", "salt").applyInPandas(_shard_ask(spec, shard_parts), "dest long, anchor long, salt int, key binary, count binary")
         got = keys.groupBy("dest").applyInPandas(_shard_answer, "anchor long, salt int, key binary")
         solved = solved.unionByName(shards.groupBy("anchor", "salt").cogroup(got.groupBy("anchor", "salt")).applyInPandas(_shard_solve(spec), S_SCHEMA))
     solved = scratch.checkpoint(solved)

@@ -2,7 +2,7 @@
 
 The reference is every block of the corpus, indexed by content (see seqanchor).  A block that the index holds twice
 is one factor.  Blocks at the edges of repeated passages are parsed greedily against the blocks that share their
-anchor: the seed of a factor is looked up in the index, the factor is extended as far as the reference block agrees, and
+anchor: all places of the seed of a factor are looked up in the index, the one that agrees furthest is the factor, and
 the parse resumes inside the factor's last window, so that windows across factor boundaries are checked too.
 """
 
@@ -20,10 +20,31 @@ from matchloom.llm import repeats
 WINDOW, GRAM = 35, 8
 
 
+def _longest(words: np.ndarray, size: np.ndarray, i: int, s: int, places: list[tuple[int, int]]) -> int:
+    """Words of the longest factor at word s of block i: of all places of its seed in other blocks, the one that agrees furthest."""
+    at = np.array([x for x in places if x[0] != i]).reshape(-1, 2)
+    if not len(at):
+        return 0
+    block, t = at[:, 0], at[:, 1]
+    k = WINDOW
+    while s + k < size[i]:
+        on = t + k < size[block]
+        block, t = block[on], t[on]
+        on = words[block, t + k] == words[i, s + k]
+        block, t = block[on], t[on]
+        if not len(block):
+            break
+        k += 1
+    return k
+
+
 def solve(group: np.ndarray, weight: np.ndarray, n: np.ndarray, p: np.ndarray, contents: list) -> list[np.ndarray]:
     """Which windows of each block are inside a factor of at least WINDOW words (weight 2: the block itself repeats)."""
     found = [d.tolist() for d in repeats.digests(SPEC, n, contents)]
-    texts = [c.tobytes() for c in contents]
+    size = np.array([len(c) for c in contents], np.int64)
+    words = np.zeros((len(contents), int(size.max(initial=0)) + 1), np.uint64)
+    for i, c in enumerate(contents):
+        words[i, : len(c)] = c
     marks = [np.zeros(k, bool) for k in n]
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1], [True]))) if len(order) else []
@@ -32,25 +53,18 @@ def solve(group: np.ndarray, weight: np.ndarray, n: np.ndarray, p: np.ndarray, c
         index: dict[int, list[tuple[int, int]]] = {}
         for i in members:
             for s, h in enumerate(found[i]):
-                if len(held := index.setdefault(h, [])) < 2:
-                    held.append((i, s))
+                index.setdefault(h, []).append((i, s))
         for i in members:
             if weight[i] >= 2:
                 continue
-            s, mine, mark = 0, texts[i], marks[i]
+            s, mine, mark = 0, found[i], marks[i]
             while s < n[i]:
-                ref = next(((j, t) for j, t in index[found[i][s]] if j != i), None)
-                if ref is None:
-                    s += 1
-                    continue
-                j, t = ref
-                other = texts[j]
-                most = min(len(mine) // 8 - s, len(other) // 8 - t)
-                size = WINDOW
-                while size < most and mine[8 * (s + size) : 8 * (s + size + 1)] == other[8 * (t + size) : 8 * (t + size + 1)]:
-                    size += 1
-                mark[s : s + size - WINDOW + 1] = True
-                s += size - WINDOW + 1
+                places = index[mine[s]]
+                k = _longest(words, size, i, s, places) if len(places) > 1 else 0
+                if k:
+                    mark[s : s + k - WINDOW + 1] = True
+                    s += k - WINDOW
+                s += 1
     return marks
 
 
@@ -76,7 +90,9 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (binary, UTF-8) of every row of docs(doc_id, text).
 
     A null or short text has no window: its words stay, joined by one space.  Repeated rows are copies of each other.
-    A null doc_id is returned as null.  Other columns are ignored.
+    A null doc_id is returned as null.  Other columns are ignored, whatever their names.  An empty table gives no rows.
+    Which of several equally long factors is taken (ties) does not change what is removed.  Words are compared by 64-bit
+    hashes.  One text is handled whole: a task needs memory of about 60 times the bytes of its longest text.
     """
     rows = repeats.keyed(docs)
     spans = repeats.repeated(rows, SPEC)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchloom.llm import repeats
 
 WINDOW, GRAM = 200, 48
-#: Bytes per radix step of the quicksort (7 bytes and their number make a 64-bit key), and its depth.
+#: Bytes per character of the quicksort (7 bytes and their number make a 64-bit key), and its depth.
 STEP, SHALLOW = 7, 28
 
 
@@ -79,42 +79,69 @@ def blind_trie(items: list[bytes]) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
+def _multikey_quicksort(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of keys (one "character" a column) within groups, and segments of rows that are equal in all columns.
+
+    All open segments are partitioned at once around a pivot each, into less, equal and greater; the equal part goes on
+    with the next column.
+    """
+    n, columns = keys.shape
+    _, first = np.unique(group, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    seg = first[order].astype(np.int64)
+    depth = np.zeros(n, np.int64)
+    at = np.arange(n)  # positions in open segments
+    while True:
+        # a segment is open if it has two rows at least and columns left
+        fresh = np.concatenate(([True], seg[at][1:] != seg[at][:-1])) if len(at) else np.empty(0, bool)
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.append(begin, len(at)))
+        number = np.repeat(np.arange(len(begin)), size)
+        live = (size[number] > 1) & (depth[at] < columns)
+        at = at[live]
+        if not len(at):
+            return order, seg
+        fresh = np.concatenate(([True], seg[at][1:] != seg[at][:-1]))
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.append(begin, len(at)))
+        number = np.repeat(np.arange(len(begin)), size)
+        key = keys[order[at], depth[at]]
+        pivot = key[begin + size // 2][number]
+        side = (key > pivot).astype(np.int64) - (key < pivot) + 1
+        by = np.argsort(3 * number + side, kind="stable")
+        order[at] = order[at][by]
+        side = side[by]
+        depth[at] += side == 1
+        # segments are named by the position of their first row, so that names ascend
+        part = 3 * number + side
+        head = np.concatenate(([True], part[1:] != part[:-1]))
+        seg[at] = n + at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+
+
 def deep_shallow(items: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within each group (groups ascending), and common prefix with the predecessor (-1: none)."""
     n = len(items)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     length = np.fromiter(map(len, items), np.int64, n)
     flat = np.frombuffer(b"".join(x[:SHALLOW].ljust(SHALLOW, b"\0") for x in items), np.uint8).reshape(n, SHALLOW)
-    _, seg = np.unique(group, return_inverse=True)
-    order = np.argsort(seg, kind="stable")
-    seg = seg[order]
-    lcp = np.zeros(n, np.int64)
-    fresh = np.concatenate(([True], seg[1:] != seg[:-1])) if n else np.empty(0, bool)
-    lcp[fresh] = -1
     weights = np.uint64(1) << (np.arange(STEP - 1, -1, -1, dtype=np.uint64) * np.uint64(8) + np.uint64(8))
-    for depth in range(0, SHALLOW, STEP):
-        have = np.clip(length[order] - depth, 0, STEP).astype(np.uint64)
-        key = flat[order, depth : depth + STEP].astype(np.uint64) @ weights | have
-        by = np.lexsort((key, seg))
-        order, key, have = order[by], key[by], have[by]
-        same = np.concatenate(([False], seg[1:] == seg[:-1])) if n else fresh
-        split = same.copy()
-        split[1:] &= key[1:] != key[:-1]
-        at = np.flatnonzero(split)
-        diff = flat[order[at], depth : depth + STEP] != flat[order[at - 1], depth : depth + STEP]
-        first = np.where(diff.any(1), diff.argmax(1), STEP)
-        lcp[at] = depth + np.minimum(first, np.minimum(have[at], have[at - 1]).astype(np.int64))
-        seg = np.cumsum(~same | split) - 1
-    start = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if n else np.empty(0, np.int64)
+    have = np.clip(length[:, None] - np.arange(0, SHALLOW, STEP), 0, STEP).astype(np.uint64)
+    keys = flat.reshape(n, -1, STEP).astype(np.uint64) @ weights | have
+    order, seg = _multikey_quicksort(keys, group)
+    differ = flat[order[1:]] != flat[order[:-1]]
+    ends = np.minimum(np.minimum(length[order[1:]], length[order[:-1]]), SHALLOW)
+    lcp = np.full(n, -1, np.int64)
+    lcp[1:] = np.where(group[order[1:]] == group[order[:-1]], np.minimum(np.where(differ.any(1), differ.argmax(1), SHALLOW), ends), -1)
+    start = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     stop = np.append(start[1:], n)
-    for lo, hi in zip(start, stop):
-        if hi - lo > 1:
-            if (longest := length[order[lo:hi]].max()) <= SHALLOW:  # all of them end here: equal strings
-                lcp[lo + 1 : hi] = longest
-                continue
-            tails = [items[i][SHALLOW:] for i in order[lo:hi]]
-            rank, shared = blind_trie(tails)
-            order[lo:hi] = order[lo:hi][rank]
-            lcp[lo + 1 : hi] = SHALLOW + np.array(shared[1:])
+    for lo, hi in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist()):
+        if length[order[lo:hi]].max() <= SHALLOW:  # all of them end here: equal strings
+            continue
+        tails = [items[i][SHALLOW:] for i in order[lo:hi]]
+        rank, shared = blind_trie(tails)
+        order[lo:hi] = order[lo:hi][rank]
+        lcp[lo + 1 : hi] = SHALLOW + np.array(shared[1:])
     return order, lcp
 
 
@@ -164,7 +191,9 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of docs(doc_id, text).
 
     A null or short text has no window and stays as it is (null: empty).  Repeated rows are copies of each other,
-    hence removed wholly if they have 200 bytes.  A null doc_id is returned as null.  Other columns are ignored.
+    hence removed wholly if they have 200 bytes.  A null doc_id is returned as null.  Other columns are ignored,
+    whatever their names.  An empty table gives no rows.  Nothing depends on the order of equal strings (ties).  One text
+    is handled whole: a task needs memory of about 60 times the bytes of its longest text.
     """
     rows = repeats.keyed(docs)
     spans = repeats.repeated(rows, SPEC)

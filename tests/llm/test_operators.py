@@ -348,3 +348,39 @@ def test_tokens(spark):
         ids = library.encode(text, add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_repeats_over_many_answering_groups(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "ENTRIES", 1)  # as many groups as entries: over a thousand
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    rows = corpus(5, 40)
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(frame(spark, rows)).collect())
+    assert got == Counter((d, sum(g), bytes(b for b, f in zip(x, g) if not f)) for d, x, g in windows(rows, 200, str.encode))
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in rlz_dedup.remove_repeated_words(frame(spark, rows)).collect())
+    assert got == Counter((d, sum(g), b" ".join(w for w, f in zip(x, g) if not f)) for d, x, g in windows(rows, 35, lambda t: tuple(t.encode().split())))
+
+
+def test_multikey_quicksort():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    keys, group = rnd.integers(0, 4, (500, 4)).astype(np.uint64), rnd.integers(0, 7, 500)
+    order, seg = suffix_dedup._multikey_quicksort(keys, group)
+    rows = [(int(group[i]), *map(int, keys[i])) for i in order]
+    assert rows == sorted(rows)
+    assert [a == b for a, b in zip(seg, seg[1:])] == [a == b for a, b in zip(rows, rows[1:])]
+
+
+def test_factor_is_the_longest_of_all_places():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    stem = rnd.integers(1, 1 << 60, 60).astype(np.uint64)
+    other = lambda: rnd.integers(1, 1 << 60, 60).astype(np.uint64)
+    blocks = [np.concatenate([stem[:k], other()])[:60] for k in (36, 40, 55, 35, 55)]
+    n = np.full(5, 26)
+    size, words = np.full(5, 60), np.stack(blocks)
+    assert rlz_dedup._longest(words, size, 0, 0, [(k, 0) for k in range(5)]) == 36
+    assert rlz_dedup._longest(words, size, 2, 0, [(k, 0) for k in range(5)]) == 55
+    marks = rlz_dedup.solve(np.zeros(5, np.int64), np.ones(5, np.int64), n, np.zeros(5, np.int64), blocks)
+    assert [int(m.sum()) for m in marks] == [2, 6, 21, 1, 21]
