@@ -1,17 +1,24 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-The vocabulary's pattern splits a text into pieces that merge on their own.  A piece without split points may be very
-long; its halves are encoded in parallel, down to leaves, and joined pairwise: a window of tokens around the join is
-encoded anew, and grows until its first and last token equal those of the left and the right side.  Then every pair of
-neighbouring tokens is one that BPE itself leaves apart, which makes the sequence the encoding of the whole.
+A text of more than LEAF characters is cut into leaves, without regard to where the vocabulary's pattern would split it.
+All leaves of a slice of texts are encoded in parallel (threads of the tokenizer's own code, outside Python's lock) and
+joined pairwise, level by level: a window around the join is encoded anew, and grows until it starts and ends with what
+the left and the right side have there.
+
+* Between a visible character and white space the pattern always splits, and what follows a split does not depend on what
+  is before it.  A window from such a place in the left side to such a place in the right side is thus encoded as in the
+  whole text (``join``).
+* A stretch without such places (``RUN`` characters or more) may be one piece of any length.  Texts with one are split by
+  the pattern, and long pieces are halved down to leaves and joined by tokens (``join_tokens``): the window grows until its
+  first and last token equal those of both sides.  Then every pair of neighbouring tokens is one that BPE itself leaves
+  apart, which makes the sequence the encoding of the whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import memory
 
-#: Bytes of a leaf; runs of characters that could make a piece longer than this take the tree.
-LEAF = 1024
-#: Bytes of texts encoded between two results of a task (one text at least).
+#: Characters of a leaf; of a stretch that makes a text take the way of long pieces; of a join's first window, each side.
+LEAF, RUN, NEAR = 1024, 256, 16
+#: Bytes of texts encoded together and between two results of a task (one text at least).
 SLICE = 1_000_000
+THREADS = 2
 SPECIAL = "<|endoftext|>"
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -31,62 +39,107 @@ RANKS = "byte_bpe_50k.tiktoken"
 class Codec:
     """path: rank file; the special token's id follows the ranks."""
 
-    def __init__(self, path: str, pattern: str, threads: int = 2) -> None:
+    def __init__(self, path: str, pattern: str, threads: int = THREADS) -> None:
         import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.special = len(ranks)
-        self.encoding = tiktoken.Encoding("fixed", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.split = tiktoken.Encoding("split", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.table = [b""] * (len(ranks) + 1)
         for k, v in ranks.items():
             self.table[v] = k
         self.table[self.special] = SPECIAL.encode()
         self.pieces = regex.compile(pattern)
-        self.long = regex.compile(rf"\S{{{LEAF // 4},}}+|\s{{{LEAF // 4},}}+")
+        self.long = regex.compile(rf"\S{{{RUN},}}+|\s{{{RUN},}}+")
+        self.edge = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \n])")
         self.threads = threads
+        self.joins = 0
 
-    def piece(self, data: bytes) -> list[int]:
-        return self.encoding._core_bpe.encode_single_piece(data)
+    # leaves and joins of text
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, a: tuple[str, list[int]], b: tuple[str, list[int]]) -> tuple[str, list[int]]:
+        """Text and tokens of two neighbouring parts as one."""
+        (left, x), (right, y) = a, b
+        self.joins += 1
+        size = NEAR
+        while True:
+            # the window starts and ends at a split or at the end of a side
+            lo = max((m.start() for m in self.edge.finditer(left, max(0, len(left) - 4 * size), max(0, len(left) - size))), default=0 if len(left) <= 4 * size else None)
+            hi = next((m.start() for m in self.edge.finditer(right, size, 4 * size)), len(right) if len(right) <= 4 * size else None)
+            if lo is None or hi is None:
+                size *= 2
+                continue
+            window = self.split.encode_ordinary(left[lo:] + right[:hi])
+            i = len(x) - self._tokens(reversed(x), len(left[lo:].encode()))
+            j = self._tokens(y, len(right[:hi].encode()))
+            if (lo == 0 or window[0] == x[i]) and (hi == len(right) or window[-1] == y[j - 1]):
+                return left + right, x[:i] + window + y[j:]
+            size *= 2
+
+    def _tokens(self, tokens: Iterable[int], n: int) -> int:
+        """How many tokens n bytes take (no token crosses a split)."""
+        k = 0
+        for t in tokens:
+            if n <= 0:
+                break
+            n -= len(self.table[t])
+            k += 1
+        return k
+
+    # leaves and joins of a piece
+
+    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         size = 4
         while True:
             i, j = max(0, len(left) - size), min(len(right), size)
-            window = self.piece(b"".join(map(self.table.__getitem__, left[i:] + right[:j])))
+            while i > 0 and self.table[left[i]][0] & 0xC0 == 0x80:  # a window is text: it starts and ends between characters
+                i -= 1
+            while j < len(right) and self.table[right[j]][0] & 0xC0 == 0x80:
+                j += 1
+            window = self.whole.encode_ordinary(b"".join(map(self.table.__getitem__, left[i:] + right[:j])).decode())
             if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
                 return left[:i] + window + right[j:]
             size *= 2
 
-    def tree(self, data: bytes) -> list[int]:
+    def piece(self, text: str) -> list[int]:
         """Encoding of one piece of any length."""
-        leaves = [data[i : i + LEAF] for i in range(0, len(data), LEAF)]
-        with ThreadPoolExecutor(self.threads) as pool:
-            parts = list(pool.map(self.piece, leaves))
-            while len(parts) > 1:
-                pairs = [(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
-                parts = list(pool.map(lambda x: self.join(*x), pairs)) + parts[2 * len(pairs) :]
+        parts = self.whole.encode_ordinary_batch([text[i : i + LEAF] for i in range(0, len(text), LEAF)], num_threads=self.threads)
+        while len(parts) > 1:
+            self.joins += len(parts) // 2
+            parts = [self.join_tokens(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
-    def _segment(self, text: str) -> np.ndarray | list[int]:
-        if self.long.search(text) is None:
-            return self.encoding.encode_to_numpy(text, disallowed_special=())
+    def _pieces(self, text: str) -> list[int]:
+        """Encoding of a text with long stretches, piece by piece."""
         out: list[int] = []
         for x in self.pieces.findall(text):
-            data = x.encode()
-            out += self.tree(data) if len(data) > LEAF else self.piece(data)
+            out += self.piece(x) if len(x) > LEAF else self.whole.encode_ordinary(x)
         return out
 
+    # texts
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """ids (uint32) of each text; the special token's string is that token, as in the library's files."""
+        segments = [(k, i, x) for k, text in enumerate(texts) for i, x in enumerate(text.split(SPECIAL))]
+        plain = [s for s in segments if self.long.search(s[2]) is None]
+        leaves = [(s, [s[2][i : i + LEAF] for i in range(0, len(s[2]), LEAF)] or [""]) for s in plain]
+        coded = iter(self.split.encode_ordinary_batch([y for _, x in leaves for y in x], num_threads=self.threads) if leaves else [])
+        found = {}
+        for (k, i, _), parts in leaves:
+            level = [(y, next(coded)) for y in parts]
+            while len(level) > 1:
+                level = [self.join(*level[j : j + 2]) if j + 1 < len(level) else level[j] for j in range(0, len(level), 2)]
+            found[k, i] = level[0][1]
+        out: list[list[int]] = [[] for _ in texts]
+        for k, i, x in segments:
+            out[k] += [self.special] if i else []
+            out[k] += found[k, i] if (k, i) in found else self._pieces(x)
+        return [np.array(x, np.uint32) for x in out]
+
     def encode(self, text: str | None) -> np.ndarray:
-        """ids (uint32); the special token's string is that token, as in the library's files."""
-        text = text or ""
-        if SPECIAL not in text:
-            return np.asarray(self._segment(text), np.uint32)
-        parts = []
-        for i, x in enumerate(text.split(SPECIAL)):
-            parts += [np.array([self.special], np.uint32)] if i else []
-            parts.append(np.asarray(self._segment(x), np.uint32))
-        return np.concatenate(parts)
+        return self.encode_all([text or ""])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -108,8 +161,7 @@ def _run(path: str | None, texts: bool):
 
         def make(part: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for text in part["text"]:
-                ids = own.encode(text.as_py())
+            for ids in own.encode_all([text.as_py() or "" for text in part["text"]]):
                 back = own.decode(ids)
                 raw = ids.astype("<u4").tobytes()
                 rows.append((len(ids), raw, back) if texts else (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
@@ -123,7 +175,9 @@ def _run(path: str | None, texts: bool):
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32 bit), decoded, for every row of docs(doc_id, text).
 
-    A null text is an empty one: no tokens.  Row by row, without a shuffle; other columns are ignored.
+    A null text is an empty one: no tokens.  Row by row, without a shuffle; repeated rows are encoded alike, an empty table
+    gives no rows, other columns are ignored, whatever their names.  One text is encoded whole, in memory of about 30
+    times its bytes.
     """
     return docs.select("doc_id", "text").mapInArrow(_run(path, True), "doc_id long, n_tokens long, ids binary, decoded string")
 

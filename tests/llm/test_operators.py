@@ -350,6 +350,22 @@ def test_tokens(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_trees_of_texts_and_pieces(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    library.encode_special_tokens = False
+    monkeypatch.setattr(bpe_codec, "LEAF", 8)
+    monkeypatch.setattr(bpe_codec, "NEAR", 1)
+    codec = bpe_codec.Codec(public_tokenizers.path(bpe_codec.RANKS), public_tokenizers.PATTERN)
+    bits = ["the", " ", "  ", "\n", "\n\n ", "'re", "it's", "'", "é", "日本", "😀", "12", "$$", " a", "\t", "\x1c", "\xa0", "hello", "ing", "aaaaaaaa", "<|endoftext|>", "=", "٣"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randrange(0, 60))) for _ in range(1500)] + ["".join(rnd.choices("abcde", k=700)), " " * 600 + "x", "日本" * 300, "😀" * 400 + " end"]
+    for text, ids in zip(texts, codec.encode_all(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert codec.joins > 5000
+
+
 def test_repeats_over_many_answering_groups(spark, monkeypatch):
     monkeypatch.setattr(repeats, "ENTRIES", 1)  # as many groups as entries: over a thousand
     monkeypatch.setattr(repeats, "GROUP", 3)
