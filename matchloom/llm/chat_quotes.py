@@ -26,18 +26,23 @@ def _level(line: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Array of (level, text): neighbouring lines of one quote level, marks removed, in order."""
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(LEAD)), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, QUOTE + "[ \\t]?", "").alias("text")))
-    none = F.struct(F.lit(-1).alias("level"), F.lit("").alias("text"), F.array().cast(f"array<{PART}>").alias("done"))
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["level"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["level"].alias("level"), acc["text"].alias("text")))))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = F.struct(acc["level"].alias("level"), F.concat(acc["text"], F.lit("\n"), x["text"]).alias("text"), acc["done"].alias("done"))
-        return F.when(acc["level"] == x["level"], same).otherwise(F.struct(x["level"].alias("level"), x["text"].alias("text"), close(acc).alias("done")))
-
-    quoted = F.aggregate(lines, none, step, close)
+    """Array of (level, text): neighbouring lines of one quote level, marks removed, in order.  Work linear in the text."""
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(LEAD)), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, QUOTE + "[ \t]?", "").alias("text")))
+
+    def cut(xs: Column) -> Column:
+        n = F.size(xs)
+        before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(xs, 1, F.greatest(n - 1, F.lit(0))), lambda x: x["level"]))
+        marked = F.transform(F.arrays_zip(F.transform(xs, lambda x: x["level"]).alias("own"), before.alias("before")), lambda x, i: F.when(x["own"] != x["before"], i))
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    def runs(x: Column) -> Column:
+        xs, starts = x["lines"], x["starts"]
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(xs)))
+        return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r: F.struct(F.get(xs, r["s"])["level"].alias("level"), F.array_join(F.transform(F.slice(xs, r["s"] + 1, r["e"] - r["s"]), lambda y: y["text"]), "\n").alias("text")))
+
+    # arrays of one element bind what is used twice, so that lines are made once
+    with_starts = F.transform(F.array(lines), lambda xs: F.struct(xs.alias("lines"), cut(xs).alias("starts")))
+    quoted = F.element_at(F.transform(with_starts, lambda x: F.when(F.size(x["lines"]) > 0, runs(x)).otherwise(F.array().cast(f"array<{PART}>"))), 1)
     return F.when(text.rlike("(?m)" + QUOTE), quoted).otherwise(F.array(F.struct(F.lit(0).alias("level"), text.alias("text"))))
 
 
@@ -50,23 +55,28 @@ def link(conversations: DataFrame) -> DataFrame:
 
     links: (level, source, words) of every message that a quote of that level is from, sorted.
     Null texts are empty.  Rows with a null conv_id or turn, and messages that quote nothing known, start a thread of
-    their own (reply_to null, depth 0).  Of rows that repeat conv_id and turn, all say what any of them says.
+    their own (reply_to null, depth 0).  Of rows that repeat conv_id and turn, all say what any of them says.  An empty
+    table gives no rows; columns other than conv_id, turn, role, text are ignored, whatever their names.  Ties between
+    sources go to the later message.  Work is linear in the length of a text.
     """
     rows = conversations.select("conv_id", "turn", "role", passages(F.coalesce("text", F.lit(""))).alias("parts"))
     own = F.filter("parts", lambda p: p["level"] == 0)
     said = F.array_join(F.transform(own, lambda p: p["text"]), "\n")
     rows = rows.select("conv_id", "turn", "role", "parts", said.alias("said"), F.size(F.filter("parts", lambda p: p["level"] > 0)).alias("n_quotes"))
     quotes = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.filter("parts", lambda p: p["level"] > 0)).alias("q"))
-    wanted = quotes.select("conv_id", "turn", F.col("q.level").alias("level"), normalise(F.col("q.text")).alias("whole"), F.explode(F.concat(F.array(F.col("q.text")), F.split("q.text", "\n"))).alias("text"))
-    wanted = wanted.select("conv_id", "turn", "level", "whole", normalise(F.col("text")).alias("text")).where("text <> ''").distinct()
-    wanted = scratch.checkpoint(wanted.withColumn("hash", F.sha2("text", 256)))
+    # a long passage is named by its hash, so that its lines do not each carry all of it
+    wanted = quotes.select("conv_id", "turn", F.col("q.level").alias("level"), F.sha2(normalise(F.col("q.text")), 256).alias("whole"), F.concat(F.array(F.col("q.text")), F.split("q.text", "\n")).alias("units"))
+    wanted = wanted.select("conv_id", "turn", "level", "whole", F.explode("units").alias("text"))
+    wanted = wanted.select("conv_id", "turn", "level", "whole", normalise(F.col("text")).alias("text")).where("text <> ''")
+    wanted = wanted.select("conv_id", "turn", "level", "whole", F.sha2("text", 256).alias("hash"), F.size(F.split("text", " ")).alias("words"))
+    wanted = scratch.checkpoint(wanted.distinct())
     talk = wanted.select("conv_id").distinct()
     units = F.concat(F.array("said"), F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), F.split("said", "\n"))
     sayings = rows.join(talk, "conv_id", "left_semi").where("turn IS NOT NULL").select("conv_id", "turn", F.explode(units).alias("text")).select("conv_id", "turn", F.sha2(normalise(F.col("text")), 256).alias("hash"))
     first = sayings.groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    hits = wanted.join(first, ["conv_id", "hash"]).where("source < turn").withColumn("words", F.size(F.split("text", " ")))
+    hits = wanted.join(first, ["conv_id", "hash"]).where("source < turn")
     # a passage found whole counts once; its lines only otherwise
-    best = hits.groupBy("conv_id", "turn", "level", "whole", "source").agg(F.max(F.when(F.col("text") == F.col("whole"), F.col("words"))).alias("all"), F.sum("words").alias("some"))
+    best = hits.groupBy("conv_id", "turn", "level", "whole", "source").agg(F.max(F.when(F.col("hash") == F.col("whole"), F.col("words"))).alias("all"), F.sum("words").alias("some"))
     score = best.groupBy("conv_id", "turn", "level", "source").agg(F.sum(F.coalesce("all", "some")).alias("words"))
     nearest = F.max(F.struct((-F.col("level")).alias("near"), "words", "source"))
     reply = score.groupBy("conv_id", "turn").agg(nearest.alias("m"), F.sort_array(F.collect_list(F.struct("level", "source", "words"))).alias("links"))

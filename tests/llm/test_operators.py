@@ -334,6 +334,73 @@ def test_quotes_of_deeper_levels(spark):
     assert {t: (r.thread, r.depth) for t, r in got.items()} == {0: (0, 0), 1: (1, 0), 2: (0, 1), 3: (0, 1), 4: (1, 1), 5: (5, 0)}
 
 
+def test_long_quotes_of_three_nested_levels(spark):
+    lines = [f"line number {k} of the first message" for k in range(50_000)]
+    rows = [(1, 0, "\n".join(lines)), (1, 1, "\n".join("> " + x for x in lines) + "\nsecond says this"), (1, 2, "\n".join(">> " + x for x in lines) + "\n> second says this\nthird adds that"), (1, 3, "\n".join(">>> " + x for x in lines[:100]) + "\n>> second says this\n> third adds that\nfourth")]
+    got = {r.turn: r for r in chat_quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).select("turn", "text", "reply_to", "thread", "depth", "links").collect()}
+    assert {t: r.reply_to for t, r in got.items()} == {0: None, 1: 0, 2: 1, 3: 2}
+    assert {t: [(x["level"], x["source"]) for x in r.links] for t, r in got.items()} == {0: [], 1: [(1, 0)], 2: [(1, 1), (2, 0)], 3: [(1, 2), (2, 1), (3, 0)]}
+    assert [got[t].text for t in (1, 2, 3)] == ["second says this", "third adds that", "fourth"] and [got[t].depth for t in range(4)] == [0, 1, 2, 3]
+
+
+def plain_links(rows):
+    """(conv, turn) -> reply and links, by loops over messages."""
+    out = {}
+    said = {}
+
+    def parts(text):
+        found = []
+        for x in text.split("\n"):
+            if re.match(chat_quotes.LEAD, x):
+                continue
+            mark = re.match(chat_quotes.QUOTE, x)
+            level = mark.group(0).count(">") if mark else 0
+            own = re.sub(chat_quotes.QUOTE + "[ \\t]?", "", x)
+            if found and found[-1][0] == level:
+                found[-1][1].append(own)
+            else:
+                found.append((level, [own]))
+        return found
+
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip(" ")
+    for c, t, text in sorted(rows):
+        found = parts(text)
+        own = [ls for level, ls in found if level == 0]
+        for unit in ["\n".join("\n".join(x) for x in own), *("\n".join(x) for x in own), *(y for x in own for y in x)]:
+            said.setdefault((c, norm(unit)), t)
+        words = {}
+        for level, whole in {(level, norm("\n".join(ls))): ls for level, ls in found if level}.items():
+            units = {norm(y) for y in ["\n".join(whole), *whole]} - {""}
+            got = {}
+            for u in units:
+                src = said.get((c, u))
+                if src is not None and src < t:
+                    got.setdefault(src, {})[u] = len(u.split(" "))
+            for src, us in got.items():
+                words[level[0], src] = words.get((level[0], src), 0) + us.get(level[1], sum(us.values()))
+        near = min((level for level, _ in words), default=None)
+        out[c, t] = (max(((n, s) for (level, s), n in words.items() if level == near), default=(0, None))[1], sorted((level, s, n) for (level, s), n in words.items()))
+    return out
+
+
+def test_quotes_against_plain_loops(spark):
+    rnd = random.Random(11)
+    rows = []
+    for c in range(30):
+        talk = []
+        for t in range(8):
+            lines = []
+            for _ in range(rnd.randrange(1, 5)):
+                if talk and rnd.random() < 0.5:
+                    lines += ["> " + x for x in rnd.choice(talk).split("\n")][: rnd.choice([1, 2, 9])]
+                else:
+                    lines.append(" ".join(rnd.choices("alpha beta gamma delta epsilon zeta".split(), k=rnd.randrange(2, 5))))
+            talk.append("\n".join(lines))
+            rows.append((c, t, talk[-1]))
+    got = {(r.conv_id, r.turn): (r.reply_to, [tuple(x) for x in r.links]) for r in chat_quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == plain_links(rows)
+
+
 def test_tokens(spark):
     import numpy as np
     import public_tokenizers
