@@ -1,14 +1,18 @@
 """Weakly supervised quality rules: rules vote or abstain, expectation-maximisation weighs them.
 
-Every rule looks at counts of one document and votes good (1), bad (0) or abstains (-1).  The only thing gathered on
-the driver is the number of documents per vote pattern (at most 3 ** rules rows, whatever the corpus holds).  EM over
-these patterns estimates how often each rule is right; the posterior of a document is then a sum of per-rule log-odds,
-a plain column expression.  DataFrame functions only.
+Every rule looks at a signal of its own and votes good (1), bad (0) or abstains (-1, between its two thresholds); no rule
+is made of others.  The only thing gathered on the driver is the number of documents per vote pattern (at most 3 ** rules
+rows, whatever the corpus holds).  Documents are good or of one kind of bad per rule (noise has many forms, which break
+different rules).  EM over the patterns estimates how often each rule votes bad on good documents (its false alarms) and
+on each kind of bad ones; the posterior of a document is a column expression of the votes.  A vote does not decide by
+itself: a rule that stands alone against the others is overruled if its alarms are not borne out by theirs.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +24,18 @@ GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Characters that are rare in prose.
 MARKS = "#*$%&|<>!?{}[]()\\^~=_+/@"
+#: What ends or parts sentences.
+STOPS = ".,;:。、"
 #: Repeated windows of a text up to which their positions are looked up one by one.
 FEW = 32
 #: A document is kept if the posterior probability of good quality is at least this.
 KEEP = 0.5
 GOOD, BAD, ABSTAIN = 1, 0, -1
-#: Accuracy of a rule before any document is seen, and how many votes that belief weighs.
-ACCURACY, WEIGHT = 0.9, 10.0
+#: Beliefs before any document is seen: how often a rule votes bad on good documents, on the kind of bad documents that is
+#: its own, and on the others; the share of good documents; how many votes and documents these beliefs weigh.
+ALARM, HIT, ELSE, PRIOR, WEIGHT = 0.05, 0.9, 0.1, 0.8, 10.0
+#: Bounds of all estimates; a rule is never believed to accuse more than MOST_ALARM of good documents, so that classes cannot trade places.
+LEAST, MOST, MOST_ALARM = 0.001, 0.98, 0.3
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -41,6 +50,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", "\\p{Lu}", ""))).cast("long").alias("n_upper"),
         (F.length("text") - F.length(F.translate("text", "!?", ""))).cast("long").alias("n_bangs"),
         (F.length("text") - F.length(F.translate("text", MARKS, ""))).cast("long").alias("n_marks"),
+        (F.length("text") - F.length(F.translate("text", STOPS, ""))).cast("long").alias("n_stops"),
+        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
     )
     n, one = F.size("w"), F.lit(1)
     base = base.select("*", n.cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
@@ -64,7 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     base = base.withColumn("starts", starts)
     covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(i, i + 1, i + 2)))))
     return base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_marks",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_marks", "n_stops", "n_digits",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), F.col("n_distinct").cast("long").alias("n_distinct"),
@@ -76,69 +87,88 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """name -> vote.  Ratios of an empty text are 0; on it only the length rule speaks."""
+    """name -> vote.  Without words only the length rule speaks."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    symbols, bangs = F.col("n_symbols") / n, F.col("n_bangs") / n
-    repeats, distinct = F.col("n_repeat_words") / n, F.col("n_distinct") / n
-    dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    upper, marks = F.col("n_upper") / chars, F.col("n_marks") / chars
-    some, no = F.col("n_words") > 0, F.lit(False)
-    shouting, littered, looping = (upper > 0.4) | (bangs > 0.5), (symbols > 0.25) | (marks > 0.12), (repeats > 0.4) | (dup > 0.4)
-    plain = (upper < 0.15) & (bangs < 0.2) & (symbols < 0.05) & (marks < 0.06) & (repeats < 0.25) & (dup < 0.25)
-    return {
-        "length": _vote(no, F.col("n_words") < 30),
-        "symbols": _vote(no, symbols > 0.25),
-        "marks": _vote(no, marks > 0.12),
-        "case": _vote(no, upper > 0.4),
-        "bangs": _vote(no, bangs > 0.5),
-        "repeats": _vote(no, repeats > 0.4),
-        "variety": _vote(no, some & ((distinct < 0.02) | (F.col("n_words") < 2000) & (distinct < 0.15))),
-        "dup_lines": _vote(no, dup > 0.4),
-        "prose": _vote(some & plain, some & (shouting | littered | looping)),
+    few = F.col("n_words") < 2000
+    signals = {  # what the rule looks at, good below or within, bad above or outside
+        "symbols": (F.col("n_symbols") / n, lambda x: x < 0.02, lambda x: x > 0.25),
+        "marks": (F.col("n_marks") / chars, lambda x: x < 0.02, lambda x: x > 0.1),
+        "case": (F.col("n_upper") / chars, lambda x: x < 0.1, lambda x: x > 0.3),
+        "bangs": (F.col("n_bangs") / n, lambda x: x < 0.05, lambda x: x > 0.4),
+        "repeats": (F.col("n_repeat_words") / n, lambda x: x < 0.1, lambda x: x > 0.4),
+        "variety": (F.col("n_distinct") / n, lambda x: (x > 0.3) | ~few & (x > 0.1), lambda x: (x < 0.02) | few & (x < 0.15)),
+        "dup_lines": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), lambda x: x < 0.1, lambda x: x > 0.4),
+        "word_length": (chars / n, lambda x: x.between(3, 9), lambda x: (x < 2) | (x > 14)),
+        "stops": (F.col("n_stops") / n, lambda x: x.between(0.03, 0.3), lambda x: (x < 0.01) | (x > 1)),
+        "digits": (F.col("n_digits") / chars, lambda x: x < 0.05, lambda x: x > 0.3),
     }
+    length = {"length": _vote(F.col("n_words") >= 80, F.col("n_words") < 30)}
+    return length | {k: F.when(F.col("n_words") == 0, ABSTAIN).otherwise(_vote(good(x), bad(x))) for k, (x, good, bad) in signals.items()}
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[float]]:
-    """Prior of good and the accuracy of each rule (how often it is right when it votes), from counts of vote patterns.
+@dataclass(frozen=True)
+class Model:
+    """Class 0 is good, class r + 1 the kind of bad documents of rule r: shares, and chances of a bad vote by rule."""
 
-    Abstentions say nothing.  Accuracies stay at or above 0.55, so that the classes cannot trade places.
-    """
-    width = len(patterns[0][0]) if patterns else 0
-    prior, accuracy = 0.5, [ACCURACY] * width
+    share: tuple[float, ...]
+    bad: tuple[tuple[float, ...], ...]
+
+    @staticmethod
+    def before(rules: int) -> Model:
+        kinds = [tuple(HIT if i == r else ELSE for i in range(rules)) for r in range(rules)]
+        return Model((PRIOR, *[(1 - PRIOR) / max(1, rules)] * rules), ((ALARM,) * rules, *kinds))
+
+    def classes(self, votes: tuple[int, ...]) -> list[float]:
+        """Probability of each class of a document with these votes; abstentions say nothing."""
+        logs = [math.log(s) + sum(math.log(p if v == BAD else 1 - p) for p, v in zip(ps, votes) if v != ABSTAIN) for s, ps in zip(self.share, self.bad)]
+        top = max(logs)
+        found = [math.exp(x - top) for x in logs]
+        return [x / sum(found) for x in found]
+
+    def posterior(self, votes: list[Column]) -> Column:
+        """Probability that a document is good, as a column."""
+        logs = [F.lit(math.log(s)) for s in self.share]
+        for i, v in enumerate(votes):
+            logs = [x + F.when(v == BAD, math.log(ps[i])).when(v == GOOD, math.log(1 - ps[i])).otherwise(0.0) for x, ps in zip(logs, self.bad)]
+        return F.aggregate(F.array(*logs[1:]), F.struct(logs[0].alias("good"), F.lit(1.0).alias("all")), lambda a, x: F.struct(a["good"].alias("good"), (a["all"] + F.exp(x - a["good"])).alias("all")), lambda a: 1 / a["all"])
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 40) -> Model:
+    """The model that EM finds for counts of vote patterns, from Model.before."""
+    first = model = Model.before(rules)
     total = sum(k for _, k in patterns)
     for _ in range(rounds if total else 0):
-        good, right, votes_of = WEIGHT / 2, [WEIGHT * ACCURACY] * width, [WEIGHT] * width
+        size = [WEIGHT * s for s in first.share]
+        accused = [[WEIGHT * p for p in ps] for ps in first.bad]
+        voted = [[WEIGHT] * rules for _ in first.bad]
         for votes, k in patterns:
-            odds = math.log(prior / (1 - prior)) + sum((1 if v == GOOD else -1) * math.log(a / (1 - a)) for a, v in zip(accuracy, votes) if v != ABSTAIN)
-            q = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            good += k * q
-            for i, v in enumerate(votes):
-                if v != ABSTAIN:
-                    votes_of[i] += k
-                    right[i] += k * (q if v == GOOD else 1 - q)
-        prior = min(0.999, max(0.001, good / (total + WEIGHT)))
-        accuracy = [min(0.999, max(0.55, r / n)) for r, n in zip(right, votes_of)]
-    return prior, accuracy
+            for c, q in enumerate(model.classes(votes)):
+                size[c] += k * q
+                for r, v in enumerate(votes):
+                    if v != ABSTAIN:
+                        voted[c][r] += k * q
+                        accused[c][r] += k * q if v == BAD else 0.0
+        bad = [tuple(min(MOST_ALARM if c == 0 else MOST, max(LEAST, a / n)) for a, n in zip(accused[c], voted[c])) for c in range(rules + 1)]
+        model = Model(tuple(x / (total + WEIGHT) for x in size), tuple(bad))
+    return model
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, votes (v_<rule>), posterior, base_failed and kept for every row of docs(doc_id, text).
 
-    Empty and null texts have base_failed true.  Repeated rows are judged alike; an empty table gives no rows.
+    Empty and null texts have base_failed true.  Repeated rows are judged alike; an empty table gives no rows.  A
+    posterior of exactly KEEP (ties) keeps.  Columns other than doc_id and text are ignored, whatever their names.  A
+    text's words and windows are arrays of one row: about 100 bytes a word.
     """
     stats = scratch.checkpoint(statistics(docs))
     names = list(rules())
     voted = stats.withColumns({f"v_{k}": v for k, v in rules().items()})
     cols = [f"v_{k}" for k in names]
     patterns = [(tuple(r[c] for c in cols), r["count"]) for r in voted.groupBy(*cols).count().collect()]
-    prior, accuracy = expectation_maximisation(sorted(patterns))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for c, a in zip(cols, accuracy):
-        weight = math.log(a / (1 - a))
-        odds = odds + F.when(F.col(c) == GOOD, weight).when(F.col(c) == BAD, -weight).otherwise(0.0)
+    model = expectation_maximisation(sorted(patterns), len(cols))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    out = voted.withColumn("posterior", model.posterior([F.col(c) for c in cols])).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
 
 

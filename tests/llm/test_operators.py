@@ -467,3 +467,53 @@ def test_factor_is_the_longest_of_all_places():
     assert rlz_dedup._longest(words, size, 2, 0, [(k, 0) for k in range(5)]) == 55
     marks = rlz_dedup.solve(np.zeros(5, np.int64), np.ones(5, np.int64), n, np.zeros(5, np.int64), blocks)
     assert [int(m.sum()) for m in marks] == [2, 6, 21, 1, 21]
+
+
+def plain_em(patterns, rounds=40):
+    import numpy as np
+
+    q = quality_rules
+    votes, n = np.array([p for p, _ in patterns]), np.array([k for _, k in patterns], float)
+    r = votes.shape[1]
+    bad, good = (votes == q.BAD).astype(float), (votes == q.GOOD).astype(float)
+    share0 = np.r_[q.PRIOR, np.full(r, (1 - q.PRIOR) / r)]
+    p0 = np.vstack([np.full(r, q.ALARM), np.full((r, r), q.ELSE) + np.eye(r) * (q.HIT - q.ELSE)])
+    share, p = share0, p0
+    for _ in range(rounds):
+        like = share * np.exp(bad @ np.log(p).T + good @ np.log(1 - p).T)
+        resp = like / like.sum(1, keepdims=True) * n[:, None]
+        share = (resp.sum(0) + q.WEIGHT * share0) / (n.sum() + q.WEIGHT)
+        p = np.maximum(q.LEAST, (resp.T @ bad + q.WEIGHT * p0) / (resp.T @ (bad + good) + q.WEIGHT))
+        p = np.minimum(np.r_[q.MOST_ALARM, np.full(r, q.MOST)][:, None], p)
+    like = share * np.exp(bad @ np.log(p).T + good @ np.log(1 - p).T)
+    return share, p, like[:, 0] / like.sum(1)
+
+
+def test_weak_supervision_against_plain_em(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality_rules.judge(docs).collect()
+    names = [f"v_{k}" for k in quality_rules.rules()]
+    patterns = sorted(Counter(tuple(r[c] for c in names) for r in rows).items())
+    share, p, good = plain_em(patterns)
+    model = quality_rules.expectation_maximisation(patterns, len(names))
+    assert np.allclose(model.share, share) and np.allclose(model.bad, p)
+    want = {v: g for (v, _), g in zip(patterns, good)}
+    assert all(abs(r.posterior - want[tuple(r[c] for c in names)]) < 1e-9 for r in rows)
+    assert all(r.kept == (not r.base_failed and want[tuple(r[c] for c in names)] >= quality_rules.KEEP) for r in rows)
+    # some verdicts are not what all-must-pass says, and none of the rules gives them alone
+    verdict = [r.posterior >= quality_rules.KEEP for r in rows]
+    assert verdict != [all(r[c] != quality_rules.BAD for c in names) for r in rows]
+    assert all(verdict != [r[c] != quality_rules.BAD for r in rows] for c in names)
+
+
+def test_agreement_overrules_a_lone_rule():
+    good, bad, none = quality_rules.GOOD, quality_rules.BAD, quality_rules.ABSTAIN
+    # the last rule accuses one document in six that all others praise; the first two accuse together
+    patterns = [((good, good, good, good), 600), ((good, good, good, bad), 120), ((bad, bad, good, good), 80), ((bad, bad, none, bad), 20)]
+    model = quality_rules.expectation_maximisation(patterns, 4)
+    assert model.classes((good, good, good, bad))[0] > 0.5 > model.classes((bad, bad, good, good))[0]
+    assert model.classes((bad, bad, none, bad))[0] < 0.5 and model.bad[0][3] > 3 * model.bad[0][0]
+    assert quality_rules.expectation_maximisation([], 4) == quality_rules.Model.before(4)
