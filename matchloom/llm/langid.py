@@ -198,7 +198,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(frame["lang"], frame["text"]):
             total.setdefault(lang, Counter()).update(MARK + w for w in text.split())
     for lang, own in total.items():
-        yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
+        if own:
+            yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
 
 
 class Scorer:

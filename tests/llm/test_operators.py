@@ -300,6 +300,38 @@ def test_quality(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
+def test_scores_against_plain_densities(spark):
+    import math
+
+    import numpy as np
+
+    q, sf = quality_qda, "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: q.measure(r.text) for r in docs.collect()}
+    import zlib
+
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in rows}
+    known = [(np.array(rows[r.doc_id]), r.quality) for r in labels.collect() if not held[r.doc_id]]
+    x, y = np.array([a for a, _ in known]), np.array([b for _, b in known])
+    centre, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-5, scale, 1)
+    z = (x - centre) / scale
+    cov = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * cov[c] for c in (0, 1))
+
+    def density(v, c):
+        s = (1 - q.TO_POOLED - q.TO_IDENTITY) * cov[c] + q.TO_POOLED * pooled + q.TO_IDENTITY * np.eye(len(v))
+        d = (v - centre) / scale - z[y == c].mean(0)
+        return math.log((y == c).mean()) - 0.5 * d @ np.linalg.solve(s, d) - 0.5 * np.linalg.slogdet(s)[1]
+
+    got = q.classify(docs, labels).collect()
+    assert len(got) == len(rows) and all(r.held_out == held[r.doc_id] and r.predicted == (r.score >= q.THRESHOLD) for r in got)
+    for r in got:
+        d = density(np.array(rows[r.doc_id]), 1) - density(np.array(rows[r.doc_id]), 0)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-700.0, min(700.0, d))))) < 1e-6
+    assert {r.doc_id for r in q.keep_good(docs, labels).collect()} == {r.doc_id for r in got if r.predicted}
+
+
 def test_rule_counts(spark):
     rows = corpus(8) + [(20_000, "a b c a b c\n\na b c\nq\nq\n" * 40 + "#*$ é x"), (20_001, "a b c"), (20_002, "a b c a b c")]
     got = Counter(tuple(r) for r in quality_rules.judge(frame(spark, rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
