@@ -39,8 +39,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; each result is written and read again before the next.
+
+    A stage's table is dropped once the next one is written; the last one stays in the shared folder, as the result reads it.
+    """
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.Table(stage(spark, docs, sf_dir), name).read()
+        table = scratch.Table(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            written.drop()
+        docs, written = table.read(), table
     return STAGES[-1][1](spark, docs, sf_dir)
