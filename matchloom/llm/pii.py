@@ -36,11 +36,11 @@ GATES = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "c
 SECRET, MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 5
 KINDS = [*PATTERNS, "secret", "name", "term"]
 TERM = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]++"
-WORD = r"\p{L}[\p{L}\p{M}]++"
-#: What is between a term and the one before it (or the line's start) if the term opens a sentence.
+WORD, WHOLE_TERM = r"\p{L}[\p{L}\p{M}]++", r"(?<![\p{L}\p{M}])" + TERM
+#: What is before a term (back to the term before it or the line's start) if it opens a sentence.
 OPENS_LINE, OPENS = r"^[^\p{L}]*$", r"[.!?:][\"')\]]*\s+[\"'(\[]*$"
 SUPPORT, SHARE, BITS, CERTAIN = 3, 0.5, 4.0, 0.9
-#: Slots of the fixed-size filter that tells which words need a closer look (bits in BUCKETS / 64 longs).
+#: Slots of the fixed-size filter that tells which words need a closer look (bits in BUCKETS / 64 longs): 16 bits of a hash.
 BUCKETS = 1 << 16
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 PLACE = "struct<start:int,end:int,value:string,gap:string>"
@@ -136,12 +136,12 @@ def protected(text: Column, base: Column) -> Column:
 
 
 def _bucket(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
+    return F.shiftrightunsigned(F.xxhash64(x), 48).cast("int")
 
 
 def _may(x: Column, bits: list[int]) -> Column:
     b = _bucket(x)
-    return F.element_at(F.lit(bits), F.shiftright(b, 6) + 1).bitwiseAND(F.expr("bigint(1)").bitwiseAND(F.lit(1)) * F.element_at(F.lit([1 << i if i < 63 else -(1 << 63) for i in range(64)]), b % 64 + 1)) != 0
+    return F.getbit(F.element_at(F.lit(bits).cast("array<bigint>"), F.shiftright(b, 6) + 1), b.bitwiseAND(63)) == 1
 
 
 def _filter(values: Column, of: DataFrame) -> list[int]:
@@ -176,12 +176,12 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("kd", "kt", F.explode(_bound(F.split("text", "\n"), ends)).alias("x")).select("kd", "kt", "x.at", "x.line")
 
 
-def occurrences(rows: DataFrame, bits: list[int]) -> DataFrame:
-    """kd, kt, term, start, context, opens of the words of rows(kd, kt, text) that pass the filter."""
-    some = lambda text: F.exists(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: _may(w, bits))
+def occurrences(rows: DataFrame, bits: list[int], pattern: str) -> DataFrame:
+    """kd, kt, term, start, context, opens of the words of rows(kd, kt, text) of the pattern that pass the filter."""
+    some = lambda text: F.exists(F.regexp_extract_all(text, F.lit(pattern), 0), lambda w: _may(w, bits))
     lines = _lines(rows.where(some(F.col("text")))).where(some(F.col("line")))
     opens = lambda x, i: F.when(i == 0, x["gap"].rlike(OPENS_LINE) | x["gap"].rlike(OPENS)).otherwise(x["gap"].rlike(OPENS))
-    hits = F.transform(_placed(F.col("line"), WORD), lambda x, i: F.struct(x["value"].alias("term"), x["start"].alias("start"), opens(x, i).alias("opens")))
+    hits = F.transform(_placed(F.col("line"), pattern), lambda x, i: F.struct(x["value"].alias("term"), x["start"].alias("start"), opens(x, i).alias("opens")))
     lines = lines.select("kd", "kt", "at", F.xxhash64("line").alias("context"), F.filter(hits, lambda x: _may(x["term"], bits)).alias("hits"))
     return lines.select("kd", "kt", "at", "context", F.explode("hits").alias("h")).select("kd", "kt", F.col("h.term").alias("term"), (F.col("at") + F.col("h.start")).cast("int").alias("start"), "context", F.col("h.opens").alias("opens"))
 
@@ -192,7 +192,7 @@ def ordinary(rows: DataFrame, terms: DataFrame) -> DataFrame | None:
     bits = _filter(F.col("low"), lower)
     if not bits:
         return None
-    seen = occurrences(rows, bits).select(F.col("term").alias("low"), "context").distinct().groupBy("low").agg(F.count("*").alias("n"))
+    seen = occurrences(rows, bits, WORD).select(F.col("term").alias("low"), "context").distinct().groupBy("low").agg(F.count("*").alias("n"))
     return lower.join(seen, "low").where((F.col("n") >= SUPPORT) & (F.col("n") >= F.col("alone"))).select("term")
 
 
@@ -214,7 +214,7 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     bits = _filter(F.col("term"), pairs)
     if not bits:
         return None
-    hits = occurrences(rows.select("kd", "kt", "text"), bits)
+    hits = occurrences(rows.select("kd", "kt", "text"), bits, WHOLE_TERM)
     hits = scratch.checkpoint(hits.join(pairs.select("term").distinct(), "term", "left_semi"))
     # copies of a line are one context, before anything is dealt by term
     alone = hits.groupBy("term", "context").agg(F.min("opens").alias("opens")).groupBy("term").agg(F.count("*").alias("alone"), F.min("opens").alias("opens"))

@@ -450,7 +450,7 @@ def plain_terms(lines):
         alone.update(set(word.findall(x)))
         low.update({w for w in word.findall(x) if w == w.lower()})
         last = 0
-        for m in word.finditer(x):
+        for m in (m for m in word.finditer(x) if term.match(m.group())):
             gap = x[last : m.start()]
             if not (regex.search(pii.OPENS, gap) or (last == 0 and regex.search(pii.OPENS_LINE, gap))):
                 mid.add(m.group())
