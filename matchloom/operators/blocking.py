@@ -63,32 +63,41 @@ def chosen_terms(query_keys: DataFrame, terms: DataFrame, config: Config = Confi
 
 
 def scores(terms: DataFrame, lists: DataFrame, config: Config = Config()) -> DataFrame:
-    """tid, aid, name and address score: weighted idf of shared terms (one equi-join, map-side sums)."""
+    """tid, aid, name and address score: weighted idf of shared terms (one equi-join, map-side sums).
+
+    Rounded, so that ties do not hang on the order in which a cluster adds up.
+    """
     weight = F.get(F.array(*map(F.lit, config.weight)), F.col("type")) * F.col("idf")
     address = F.col("type").isin(*config.address_types)
-    return terms.join(lists, ["country", "type", "token"]).groupBy("tid", "aid").agg(F.sum(F.when(~address, weight).otherwise(0.0)).alias("ns"), F.sum(F.when(address, weight).otherwise(0.0)).alias("ads"))
+    return terms.join(lists, ["country", "type", "token"]).groupBy("tid", "aid").agg(F.round(F.sum(F.when(~address, weight).otherwise(0.0)), 9).alias("ns"), F.round(F.sum(F.when(address, weight).otherwise(0.0)), 9).alias("ads"))
 
 
 def preliminary(scored: DataFrame, config: Config = Config()) -> DataFrame:
     """Best by combined rank, plus the best of either score; ties by anchor."""
     per = Window.partitionBy("tid")
     n, a = S.ratio(F.col("ns"), F.max("ns").over(per)), S.ratio(F.col("ads"), F.max("ads").over(per))
-    x = scored.withColumn("n", n).withColumn("a", a).withColumn("rank", F.col("n") + F.col("a") + 0.65 * F.least("n", "a"))
+    x = scored.withColumn("n", n).withColumn("a", a).withColumn("rank", F.round(F.col("n") + F.col("a") + 0.65 * F.least("n", "a"), 9))
     order = lambda c: F.row_number().over(per.orderBy(F.desc(c), "aid"))
     x = x.withColumn("r", order("rank")).withColumn("rn", order("ns")).withColumn("ra", order("ads"))
     return x.where((F.col("r") <= config.preliminary) | (F.col("rn") <= config.routes) | (F.col("ra") <= config.routes)).drop("r", "rn", "ra")
 
 
+def ready(records: DataFrame, key: str, out: str) -> DataFrame:
+    """key and a struct with what the filter compares: token and gram arrays are made once per record, not per pair."""
+    first = F.regexp_replace(F.regexp_extract("address", "[0-9]+", 0), "^0+(?=[0-9])", "")
+    fields = ["core", "missing", S.words(F.col("core")).alias("words"), S.grams(F.col("core")).alias("g"), S.grams(F.col("address")).alias("ga"), first.alias("first")]
+    return records.select(F.col("id").alias(key), F.struct(*fields).alias(out))
+
+
 def filter_rank(pairs: DataFrame) -> DataFrame:
-    """name_dice, address_dice, containment and rank of pairs with records a and q (core, address, missing)."""
-    nd, ad = S.dice(S.grams(F.col("a.core")), S.grams(F.col("q.core"))), S.dice(S.grams(F.col("a.address")), S.grams(F.col("q.address")))
-    inside = S.of_smaller(S.words(F.col("a.core")), S.words(F.col("q.core")))
-    first = lambda s: F.regexp_replace(F.regexp_extract(s, "[0-9]+", 0), "^0+(?=[0-9])", "")
-    same = ((first(F.col("a.address")) != "") & (first(F.col("a.address")) == first(F.col("q.address")))).cast("double")
+    """name_dice, address_dice, containment and rank of pairs with records a and q (see ``ready``)."""
+    nd, ad = S.dice(F.col("a.g"), F.col("q.g")), S.dice(F.col("a.ga"), F.col("q.ga"))
+    inside = S.of_smaller(F.col("a.words"), F.col("q.words"))
+    same = ((F.col("a.first") != "") & (F.col("a.first") == F.col("q.first"))).cast("double")
     x = pairs.withColumns({"name_dice": nd, "address_dice": ad, "containment": inside, "_first": same, "_core": (F.col("a.core") == F.col("q.core")).cast("double")})
     mixed = 0.50 * F.col("name_dice") + 0.25 * F.col("address_dice") + 0.18 * F.least("name_dice", "address_dice") + 0.10 * F.col("containment") + 0.07 * F.col("_first") + 0.08 * F.col("_core")
     alone = 0.8 * F.col("name_dice") + 0.2 * F.col("containment")
-    return x.withColumn("rank", F.when(F.col("q.missing") == 1, alone).otherwise(mixed)).drop("_first", "_core")
+    return x.withColumn("rank", F.round(F.when(F.col("q.missing") == 1, alone).otherwise(mixed), 9)).drop("_first", "_core")
 
 
 def final(pairs: DataFrame, dense: DataFrame | None = None, config: Config = Config()) -> DataFrame:
@@ -117,35 +126,43 @@ def candidates(anchors: DataFrame, targets: DataFrame, dense: DataFrame | None =
     total = anchors.count()
     terms, lists = postings(keys(anchors), total, config)
     picked = preliminary(scores(chosen_terms(keys(targets), terms, config), lists, config), config)
-    a = anchors.select(F.col("id").alias("aid"), F.struct("core", "address", "missing").alias("a"))
-    q = targets.select(F.col("id").alias("tid"), F.struct("core", "address", "missing").alias("q"))
-    ranked = filter_rank(picked.select("tid", "aid", "ns", "ads").join(a, "aid").join(q, "tid"))
+    ranked = filter_rank(picked.select("tid", "aid", "ns", "ads").join(ready(anchors, "aid", "a"), "aid").join(ready(targets, "tid", "q"), "tid"))
     ranked = ranked.select("tid", "aid", "ns", "ads", "rank", "name_dice", "address_dice", "containment", F.col("q.missing").alias("missing"))
     return final(ranked, dense, config)
 
 
+def lexical_or_dense(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Dense pairs (tid, aid, cos) that the lexical route does not have."""
+    return dense.join(lexical.select("tid", "aid"), ["tid", "aid"], "left_anti")
+
+
 def recall(found: DataFrame, links: DataFrame) -> DataFrame:
     """One row: queries, pairs, links, retrieved links (links: tid, aid)."""
     hit = links.join(found.select("tid", "aid"), ["tid", "aid"], "left_semi")
     return found.agg(F.countDistinct("tid").alias("queries"), F.count("*").alias("pairs")).crossJoin(links.agg(F.count("*").alias("links"))).crossJoin(hit.agg(F.count("*").alias("retrieved")))
 
 
-def vector_top_k(queries: DataFrame, base: DataFrame, k: int = 4, planes: int = 0, seed: int = 7) -> DataFrame:
+def vector_top_k(queries: DataFrame, base: DataFrame, k: int = 4, planes: int = 0, tables: int = 8, seed: int = 7) -> DataFrame:
     """tid, aid, cos: best k by cosine within a partition (columns id, part, embedding).
 
-    planes = 0 compares all of a partition (exact); otherwise only vectors that share a bucket of sign patterns.
+    planes = 0 compares all of a partition (exact); otherwise vectors that share a pattern of ``planes`` signs in one of
+    ``tables`` hash tables.  Every row is indexed; recall is measured in the tests.
     """
-    on = [F.col("q.part") == F.col("b.part")]
+    on = ["part"]
     if planes:
         import random
 
         rnd = random.Random(seed)
         width = len(base.select("embedding").first()[0])
-        rows = [[rnd.gauss(0, 1) for _ in range(width)] for _ in range(planes)]
-        bucket = F.concat(*((F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, r)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) > 0).cast("int").cast("string") for r in rows))
-        queries, base = queries.withColumn("bucket", bucket), base.withColumn("bucket", bucket)
-        on.append(F.col("q.bucket") == F.col("b.bucket"))
-    pairs = queries.alias("q").join(base.alias("b"), on).where("q.id <> b.id").select(F.col("q.id").alias("tid"), F.col("b.id").alias("aid"), S.cosine(F.col("q.embedding"), F.col("b.embedding")).alias("cos"))
+        sign = lambda: F.aggregate(F.zip_with("embedding", F.array(*(F.lit(rnd.gauss(0, 1)) for _ in range(width))), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) > 0
+        patterns = F.array(*(F.concat(F.lit(f"{t}:"), *(sign().cast("int").cast("string") for _ in range(planes))) for t in range(tables)))
+        queries, base = queries.withColumn("bucket", F.explode(patterns)), base.withColumn("bucket", F.explode(patterns))
+        on = ["part", "bucket"]
+    q, b = queries.select(F.col("id").alias("tid"), *on, F.col("embedding").alias("_q")), base.select(F.col("id").alias("aid"), *on, F.col("embedding").alias("_b"))
+    pairs = q.join(b, on).where("tid <> aid")
+    if planes:
+        pairs = pairs.dropDuplicates(["tid", "aid"])
+    pairs = pairs.select("tid", "aid", S.cosine(F.col("_q"), F.col("_b")).alias("cos"))
     return pairs.withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("cos"), "aid"))).where(F.col("r") <= k).drop("r")
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from matchloom.functions import similarity as S
 
@@ -42,18 +41,22 @@ def decode(decisions: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     Windows over one partitioning (aid).  An anchor stays empty if that is expected to score strictly more.
     """
     rows = decisions.where((F.col("aid") >= 0) & (F.col("margin") >= knobs.min_margin) & (F.col("q") > knobs.floor))
-    per = Window.partitionBy("aid")
+    x = _prefixes(rows, Window.partitionBy("aid"), F.lit(knobs.missing), F.lit(knobs.empty_scale))
+    return x.where("k <= depth").select("tid", "aid", "q", "margin", "k", "score")
+
+
+def _prefixes(rows: DataFrame, per: WindowSpec, missing: Column, empty_scale: Column) -> DataFrame:
+    """rows with their place k in the group's order, the score of the prefix that ends there, and the depth of the best one."""
     order = per.orderBy(F.desc("q"), "tid")
     x = rows.withColumns({
         "k": F.row_number().over(order),
         "cs": F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "total": F.sum("q").over(per),
-        "empty": knobs.empty_scale * F.exp(F.sum(F.log(1 - F.least("q", F.lit(1 - 1e-7)))).over(per)),
+        "empty": empty_scale * F.exp(F.sum(F.log(1 - F.least("q", F.lit(1 - 1e-7)))).over(per)),
     })
-    x = x.withColumn("score", 1.25 * F.col("cs") / (F.col("k") + 0.25 * (F.col("total") + knobs.missing)))
+    x = x.withColumn("score", 1.25 * F.col("cs") / (F.col("k") + 0.25 * (F.col("total") + missing)))
     x = x.withColumn("best", F.max("score").over(per))
-    x = x.withColumn("depth", F.when(F.col("empty") > F.col("best"), 0).otherwise(F.min(F.when(F.col("score") == F.col("best"), F.col("k"))).over(per)))
-    return x.where("k <= depth").select("tid", "aid", "q", "margin", "k", "score")
+    return x.withColumn("depth", F.when(F.col("empty") > F.col("best"), 0).otherwise(F.min(F.when(F.col("score") == F.col("best"), F.col("k"))).over(per)))
 
 
 def threshold(decisions: DataFrame, least: float, margin: float = 0.0) -> DataFrame:
@@ -103,42 +106,74 @@ def exclude(decisions: DataFrame, zone: DataFrame, keep: float) -> DataFrame:
 def prune(links: DataFrame, budget: int, bytes_per_link: int) -> DataFrame:
     """Drops the links whose loss per byte is least until they fit: last links first, each anchor re-evaluated.
 
-    Exact and sequential; only aid, k and q of the links are gathered, on the driver: for one output file's overrun.
+    Dropping always the cheapest last link is the same as an order: a link goes when the dearest of those after it in its
+    anchor has gone.  So losses are windows over anchors, and what goes is the front of one distributed sort.
     """
     over = links.count() * bytes_per_link - budget
     if over <= 0:
         return links
-    held: dict[int, list[tuple[float, int]]] = {}
-    for r in links.select("aid", "k", "q", "tid").toLocalIterator():
-        held.setdefault(r["aid"], []).append((r["q"], r["tid"]))
-    value = lambda qs, k: 1.25 * sum(qs[:k]) / (k + 0.25 * sum(qs)) if k else math.exp(sum(math.log(1 - min(q, 1 - 1e-7)) for q in qs))
-    heap = []
-    for aid, rows in held.items():
-        rows.sort(key=lambda x: (-x[0], x[1]))
-        qs = [q for q, _ in rows]
-        heap.append(((value(qs, len(qs)) - value(qs, len(qs) - 1)) / bytes_per_link, aid, len(qs)))
-    heapq.heapify(heap)
-    cut: list[tuple[int, int]] = []
-    while over > 0 and heap:
-        _, aid, k = heapq.heappop(heap)
-        cut.append((held[aid][k - 1][1], aid))
-        over -= bytes_per_link
-        if k > 1:
-            qs = [q for q, _ in held[aid]]
-            heapq.heappush(heap, ((value(qs, k - 1) - value(qs, k - 2)) / bytes_per_link, aid, k - 1))
-    gone = links.sparkSession.createDataFrame(cut, "tid long, aid long")
+    per = Window.partitionBy("aid")
+    ahead = per.orderBy(F.desc("q"), "tid")
+    x = links.select("tid", "aid", "q").withColumns({
+        "k": F.row_number().over(ahead), "total": F.sum("q").over(per),
+        "cs": F.sum("q").over(ahead.rowsBetween(Window.unboundedPreceding, 0)),
+        "none": F.exp(F.sum(F.log(1 - F.least("q", F.lit(1 - 1e-7)))).over(per)),
+    })
+    x = x.withColumn("value", 1.25 * F.col("cs") / (F.col("k") + 0.25 * F.col("total")))
+    x = x.withColumn("loss", F.col("value") - F.coalesce(F.lag("value").over(per.orderBy("k")), F.col("none")))
+    x = x.withColumn("cost", F.max("loss").over(per.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)))
+    gone = x.orderBy(F.round("cost", 9), "aid", F.desc("k")).limit(-(-over // bytes_per_link)).select("tid", "aid")
     return links.join(gone, ["tid", "aid"], "left_anti")
 
 
 def grid(decisions: DataFrame, truth: DataFrame, anchors: DataFrame, options: list[Knobs]) -> DataFrame:
-    """Macro F0.5 of each setting, all in one job (knobs as columns of a union of decoded tables)."""
-    from matchloom.operators.evaluate import macro
-
-    out = None
-    for i, k in enumerate(options):
-        row = macro(anchors, decode(decisions, k).select("tid", "aid"), truth).select(F.lit(i).alias("option"), F.lit(k.missing).alias("missing"), F.lit(k.empty_scale).alias("empty_scale"), F.lit(k.min_margin).alias("min_margin"), F.lit(k.floor).alias("floor"), "macro_f05")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Macro F0.5 of each setting in one plan: rows carry the number of a setting, windows go by setting and anchor."""
+    fields = ("missing", "empty_scale", "min_margin", "floor")
+    table = F.array(*(F.struct(F.lit(i).alias("option"), *(F.lit(float(getattr(k, f))).alias(f) for f in fields)) for i, k in enumerate(options)))
+    x = decisions.where(F.col("aid") >= 0).withColumn("o", F.explode(table)).select("tid", "aid", "q", "margin", "o.*")
+    x = x.where((F.col("margin") >= F.col("min_margin")) & (F.col("q") > F.col("floor")))
+    per = Window.partitionBy("option", "aid")
+    linked = _prefixes(x, per, F.col("missing"), F.col("empty_scale")).where("k <= depth").select("option", "tid", "aid")
+    true = truth.select("tid", "aid").distinct()
+    found = linked.join(true.withColumn("t", F.lit(1)), ["tid", "aid"], "left").groupBy("option", "aid").agg(F.count("*").alias("pred"), F.count("t").alias("tp"))
+    wanted = anchors.select("aid").join(true.groupBy("aid").agg(F.count("*").alias("truth")), "aid", "left")
+    every = wanted.withColumn("o", F.explode(table)).select("aid", "truth", "o.*").join(found, ["option", "aid"], "left").na.fill(0, ["truth", "pred", "tp"])
+    from matchloom.operators.evaluate import f05
+
+    return every.groupBy("option", *fields).agg(F.avg(f05(F.col("pred"), F.col("truth"), F.col("tp"))).alias("macro_f05"))
+
+
+def threshold_grid(decisions: DataFrame, truth: DataFrame, anchors: DataFrame, thresholds: list[float], gaps: list[float]) -> DataFrame:
+    """threshold, gap, macro_f05 of every setting of the threshold rule, in one plan; the first row by (rounded score, threshold) wins."""
+    table = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(g)).alias("gap")) for t in thresholds for g in gaps))
+    true = truth.select("tid", "aid").distinct()
+    rows = decisions.where(F.col("aid") >= 0).join(true.withColumn("t", F.lit(1)), ["tid", "aid"], "left").withColumn("o", F.explode(table)).where((F.col("q") >= F.col("o.threshold")) & (F.col("margin") >= F.col("o.gap")))
+    found = rows.groupBy("o", "aid").agg(F.count("*").alias("pred"), F.count("t").alias("tp"))
+    wanted = anchors.select("aid").join(true.groupBy("aid").agg(F.count("*").alias("truth")), "aid", "left").withColumn("o", F.explode(table))
+    from matchloom.operators.evaluate import f05
+
+    x = wanted.join(found, ["o", "aid"], "left").na.fill(0, ["truth", "pred", "tp"])
+    return x.groupBy("o").agg(F.avg(f05(F.col("pred"), F.col("truth"), F.col("tp"))).alias("macro_f05")).select("o.threshold", "o.gap", "macro_f05")
+
+
+def best_threshold(grid: DataFrame) -> DataFrame:
+    """The setting of the best score to five digits; of ties, the higher threshold, then the smaller gap."""
+    return grid.orderBy(F.desc(F.round("macro_f05", 5)), F.desc("threshold"), "gap").limit(1)
+
+
+def blocking_cut(pairs: DataFrame, most_rank: int | None = None, least_dice: float | None = None) -> DataFrame:
+    """Pairs(rank, dense, name_dice, address_dice) that stay candidates: by lexical rank, dense ones by their better Dice."""
+    keep = F.lit(True)
+    if most_rank is not None:
+        keep = keep & ((F.col("dense") == 1) | (F.col("rank") < most_rank))
+    if least_dice is not None:
+        keep = keep & ((F.col("dense") == 0) | (F.greatest("name_dice", "address_dice") >= least_dice))
+    return pairs.where(keep)
+
+
+def shift_country(decisions: DataFrame, country: str, delta: float) -> DataFrame:
+    """decisions(country, q, ...) with the logit of one country's q shifted; the others stay as they are."""
+    return decisions.withColumn("q", F.when(F.col("country") == country, S.shift_logit(F.col("q"), delta)).otherwise(F.col("q")))
 
 
 def additions(current: DataFrame, lists: list[DataFrame], caps: dict[str, int]) -> DataFrame:

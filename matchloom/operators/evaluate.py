@@ -117,13 +117,100 @@ def lineage(decisions: DataFrame, again: DataFrame, tolerance: float = 1e-7) ->
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve from rank sums over distinct scores (ties count half; no global sort of rows)."""
-    g = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    from pyspark.sql import Window
+    from matchloom.operators.order import running_sum
 
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("below", below).agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    g = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    return running_sum(g, score, "n", "below").agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def alias_cycles(aliases: dict[str, str]) -> list[str]:
     """Aliases that lead back to themselves or to another alias (normalising twice would differ from once)."""
     return sorted(k for k, v in aliases.items() if any(w in aliases for w in v.split()))
+
+
+def oracle_ceiling(anchors: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Summary of a perfect choice among the candidates: what blocking alone leaves possible."""
+    return macro(anchors, truth.join(pairs.select("tid", "aid").distinct(), ["tid", "aid"], "left_semi"), truth)
+
+
+def rank_histogram(ranked: DataFrame, truth: DataFrame) -> DataFrame:
+    """position, n of true links (position -1: never a candidate), and how many candidates their targets have on average."""
+    sizes = ranked.groupBy("tid").agg(F.count("*").alias("c"))
+    hit = truth.select("tid", "aid").join(ranked.select("tid", "aid", "position"), ["tid", "aid"], "left").join(sizes, "tid", "left")
+    return hit.groupBy(F.coalesce("position", F.lit(-1)).alias("position")).agg(F.count("*").alias("n"), F.avg(F.coalesce("c", F.lit(0))).alias("candidates"))
+
+
+def out_of_place(a: DataFrame, b: DataFrame, place: str, *columns: str) -> DataFrame:
+    """One row: rows that two files do not share at the same place (a full join on the place, each difference counted)."""
+    x = a.select(place, *(F.col(c).alias(f"a_{c}") for c in columns), F.lit(1).alias("a_")).join(b.select(place, *(F.col(c).alias(f"b_{c}") for c in columns), F.lit(1).alias("b_")), place, "full")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    both = F.col("a_").isNotNull() & F.col("b_").isNotNull()
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    return x.agg(F.count("*").alias("places"), count(F.col("b_").isNull()).alias("only_a"), count(F.col("a_").isNull()).alias("only_b"), count(both & ~same).alias("changed"))
+
+
+def looked_up(pairs: DataFrame, scores: DataFrame, column: str) -> DataFrame:
+    """pairs(tid, aid, ...) with a score that every one of them must have; a pair without one fails the query."""
+    x = pairs.join(scores.select("tid", "aid", column), ["tid", "aid"], "left")
+    found = F.assert_true(F.col(column).isNotNull(), F.concat(F.lit("no score of pair "), F.col("tid").cast("string"), F.lit(","), F.col("aid").cast("string")))
+    return x.where(F.coalesce(found.isNull(), F.lit(True)))
+
+
+def set_audit(stages: dict[str, DataFrame]) -> DataFrame:
+    """stage, pairs, missing, extra: pairs (tid, aid) of each stage as a set, against the first one's."""
+    names = list(stages)
+    first = stages[names[0]].select("tid", "aid").distinct()
+    out = None
+    for name in names:
+        own = stages[name].select("tid", "aid").distinct()
+        both = first.withColumn("f", F.lit(1)).join(own.withColumn("o", F.lit(1)), ["tid", "aid"], "full")
+        row = both.agg(F.lit(name).alias("stage"), F.count("o").alias("pairs"), F.sum(F.col("o").isNull().cast("int")).alias("missing"), F.sum(F.col("f").isNull().cast("int")).alias("extra"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def disagreement(a: DataFrame, b: DataFrame, truth: DataFrame, records: DataFrame) -> DataFrame:
+    """pattern, slice, n, a_right, b_right over targets on which two link sets (tid, aid) differ.
+
+    records: tid, aid, core and address of the target and of its candidate anchor (a_core, a_address).
+    """
+    x = a.select("tid", F.col("aid").alias("a")).join(b.select("tid", F.col("aid").alias("b")), "tid", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    pattern = F.when(F.col("b").isNull(), "only a links").when(F.col("a").isNull(), "only b links").otherwise("other anchor")
+    x = x.withColumn("aid", F.coalesce("b", "a")).join(records, ["tid", "aid"]).join(truth.select("tid", F.col("aid").alias("own")), "tid", "left")
+    name, place = F.col("core") == F.col("a_core"), F.col("address") == F.col("a_address")
+    part = F.when(F.col("address") == "", "no address").when(name & place, "same name and address").when(name, "same name").when(place, "same address").otherwise("both differ")
+    right = lambda c: F.avg(F.col(c).eqNullSafe(F.col("own")).cast("double"))
+    return x.groupBy(pattern.alias("pattern"), part.alias("slice")).agg(F.count("*").alias("n"), right("a").alias("a_right"), right("b").alias("b_right"))
+
+
+def flag_table(rows: DataFrame, flags: dict[str, Column], label: str) -> DataFrame:
+    """flag, n, rate, odds: how often each flag holds, how often labelled rows are 1 where it does, and the odds ratio to the rest."""
+    made = rows.select(F.col(label).cast("double").alias("y"), F.explode(F.array(*(F.struct(F.lit(k).alias("flag"), v.cast("double").alias("on")) for k, v in flags.items()))).alias("f"))
+    g = made.groupBy(F.col("f.flag").alias("flag")).agg(F.sum("f.on").alias("n"), F.sum(F.col("f.on") * F.col("y")).alias("n1"), F.count("*").alias("all"), F.sum("y").alias("all1"))
+    inside, outside = F.col("n1") + 0.5, F.col("all1") - F.col("n1") + 0.5
+    odds = (inside / (F.col("n") - F.col("n1") + 0.5)) / (outside / (F.col("all") - F.col("n") - F.col("all1") + F.col("n1") + 0.5))
+    return g.select("flag", F.col("n").cast("long").alias("n"), ratio(F.col("n1"), F.col("n")).alias("rate"), odds.alias("odds"))
+
+
+def fidelity(real: DataFrame, made: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """flag, real, made, ratio: rates of each flag in real and synthetic records."""
+    rates = lambda df, name: df.agg(*(F.avg(v.cast("double")).alias(k) for k, v in flags.items())).unpivot([], list(flags), "flag", name)
+    return rates(real, "real").join(rates(made, "made"), "flag").withColumn("ratio", ratio(F.col("made"), F.col("real")))
+
+
+def statistics(records: DataFrame) -> DataFrame:
+    """country, section, key, n over records(country, name, address): sizes, name lengths in words, scripts, missing addresses, shared names."""
+    from matchloom.operators.evidence import script
+
+    words = F.size(F.filter(F.split("name", " "), lambda w: w != ""))
+    sections = F.array(
+        F.struct(F.lit("records").alias("section"), F.lit("all").alias("key")),
+        F.struct(F.lit("name_words").alias("section"), F.least(words, F.lit(8)).cast("string").alias("key")),
+        F.struct(F.lit("script").alias("section"), script(F.col("name")).alias("key")),
+        F.struct(F.lit("address").alias("section"), F.when(F.trim("address") == "", "missing").otherwise("present").alias("key")),
+    )
+    rows = records.select("country", F.explode(sections).alias("s")).groupBy("country", "s.section", "s.key").agg(F.count("*").alias("n"))
+    shared = records.groupBy("country", "name").agg(F.count("*").alias("c")).groupBy("country", F.lit("namesakes").alias("section"), F.least("c", F.lit(5)).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return rows.unionByName(shared)

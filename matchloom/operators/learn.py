@@ -10,10 +10,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Folds: what each step may see.
+# Folds that each step may see, and the multipliers and rule of `sampled`.
 FOLDS = {"scorer": (0, 39), "stage1": (0, 74), "stage2": (40, 74), "stop": (75, 79), "calibrate": (80, 84), "tune": (85, 89), "report": (90, 99)}
 
 
@@ -42,15 +42,15 @@ def boosted(train: DataFrame, features: list[str], *, depth: int = 7, rounds: in
     """Gradient-boosted trees on named columns; validation names a boolean column of early-stopping rows."""
     options = {"weightCol": weight} if weight else {}
     options |= {"validationIndicatorCol": validation} if validation else {}
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxDepth=depth, maxIter=rounds, stepSize=step, maxBins=bins, seed=seed, **options)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), trees]).fit(train)
+    trees = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=depth, maxIter=rounds, stepSize=step, maxBins=bins, seed=seed, **options)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), trees]).fit(train)
 
 
 def calibrator(train: DataFrame, features: list[str], c: float = 1.0):
     """Standardised logistic regression with inverse regularisation c."""
     n = max(1, train.count())
-    lr = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / (c * n), standardization=False)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), lr]).fit(train)
+    lr = LogisticRegression(featuresCol="_z", labelCol="label", regParam=1.0 / (c * n), standardization=False)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), lr]).fit(train)
 
 
 def probability(model, df: DataFrame, out: str = "q", known: Column | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def ensemble(scored: list[DataFrame], keys: list[str], value: str = "q") -> Data
 
 
 def isotonic(train: DataFrame, x: str = "p", label: str = "label"):
-    return IsotonicRegression(featuresCol="v", labelCol=label).fit(VectorAssembler(inputCols=[x], outputCol="v").transform(train))
+    return IsotonicRegression(featuresCol="_v", labelCol=label).fit(VectorAssembler(inputCols=[x], outputCol="_v").transform(train))
 
 
 def beta_inputs(p: Column) -> dict[str, Column]:
@@ -99,9 +99,84 @@ def lexical(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([2 * len(a & b) / max(1, len(a) + len(b)) for a, b in ((grams(x), grams(y)) for x, y in zip(left, right))])
 
 
-def pseudo_labels(decisions: DataFrame, pairs: DataFrame, high: float = 0.9995, low: float = 0.02, rate: float = 0.25) -> DataFrame:
-    """tid, aid, label: sure links as positives, their hardest other candidates and sure non-links as negatives (a rate)."""
-    sure = decisions.where(F.col("q") >= high).select("tid", F.col("aid").alias("own"))
-    own = pairs.join(sure, "tid").select("tid", "aid", (F.col("aid") == F.col("own")).cast("int").alias("label"))
-    poor = pairs.join(decisions.where(F.col("q") <= low).select("tid"), "tid", "left_semi").select("tid", "aid", F.lit(0).alias("label"))
-    return own.unionByName(poor).where(rate_sample(F.col("tid"), rate))
+# What counts as sure.
+SURE, SURE_LEAD, HOPELESS = 0.999, 0.3, 0.001
+
+
+def pseudo_labels(decisions: DataFrame, pairs: DataFrame, country: str | None = None, rate: float = 1.0) -> DataFrame:
+    """tid, aid, label, kind: sure links (positives), their second and third candidates (hard), hopeless best candidates (decoys).
+
+    decisions: tid, aid, q, margin (and country); a rate below one keeps targets by a hash.
+    """
+    known = decisions.where((F.col("aid") >= 0) & rate_sample(F.col("tid"), rate))
+    known = known if country is None else known.where(F.col("country") == country)
+    sure = known.where((F.col("q") >= SURE) & (F.col("margin") >= SURE_LEAD)).select("tid", "aid")
+    ranked = pairs.join(sure.select("tid", F.col("aid").alias("own")), "tid").withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("p"), "aid")))
+    hard = ranked.where(F.col("r").between(2, 3) & (F.col("aid") != F.col("own"))).select("tid", "aid")
+    poor = known.where(F.col("q") <= HOPELESS).select("tid", "aid")
+    label = lambda df, y, kind: df.select("tid", "aid", F.lit(y).alias("label"), F.lit(kind).alias("kind"))
+    return label(sure, 1, "sure").unionByName(label(hard, 0, "hard")).unionByName(label(poor, 0, "decoy"))
+
+
+def second_round(first: DataFrame, rescored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Labels of the first round and of targets decided again (rescored: tid, aid, q): an earlier label of a pair stays."""
+    again = label_again(rescored, pairs)
+    return first.select("tid", "aid", "label").unionByName(again.join(first.select("tid", "aid"), ["tid", "aid"], "left_anti"))
+
+
+def label_again(rescored: DataFrame, pairs: DataFrame) -> DataFrame:
+    sure = rescored.where(F.col("q") >= SURE).select("tid", F.col("aid").alias("own"))
+    others = pairs.join(sure, "tid").where(F.col("aid") != F.col("own")).select("tid", "aid", F.lit(0).alias("label")).distinct()
+    poor = rescored.where(F.col("q") <= HOPELESS).select("tid", "aid", F.lit(0).alias("label"))
+    return sure.select("tid", F.col("own").alias("aid"), F.lit(1).alias("label")).unionByName(others).unionByName(poor)
+
+
+def banded_model(table: DataFrame, features: list[str], control: list[str], low: float = 0.003, high: float = 0.998, **options):
+    """(model on features, control model on fewer) of rows whose q is uncertain, in the folds after calibration: what the features add."""
+    rows = table.where((F.col("q") > low) & (F.col("q") < high) & F.col("fold").between(80, 89))
+    options = {"depth": 5, "rounds": 20, "step": 0.05} | options
+    return boosted(rows, features, **options), boosted(rows, control, **options)
+
+
+def rescue(table: DataFrame, features: list[str], **options):
+    """Model of blocked pairs of targets that are not linked (label, fold, linked), fit on the calibration folds."""
+    options = {"depth": 5, "rounds": 20, "step": 0.05} | options
+    return boosted(table.where((F.col("linked") == 0) & within("calibrate")), features, **options)
+
+
+def rescued(scored: DataFrame, threshold: float) -> DataFrame:
+    """tid, aid: the best blocked pair of each unlinked target (tid, aid, p, linked) from the threshold on."""
+    best = scored.where("linked = 0").withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("p"), "aid")))
+    return best.where((F.col("r") == 1) & (F.col("p") >= threshold)).select("tid", "aid")
+
+
+def embedded(texts: DataFrame, encoder: Callable[[pd.Series], pd.Series], out: str = "embedding") -> DataFrame:
+    """id, vector of unit length of texts(id, text): any encoder of a series of strings into lists of floats plugs in."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], out: encoder(f["text"])})
+
+    made = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions(F.length("text")).mapInPandas(run, f"id long, {out} array<float>")
+    norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return made.withColumn(out, F.when(norm > 0, F.transform(out, lambda x: (x / norm).cast("float"))).otherwise(F.col(out)))
+
+
+def hashed_grams(texts: pd.Series, width: int = 64) -> pd.Series:
+    """The default encoder: counts of character trigrams in hashed slots."""
+    import zlib
+
+    def one(text: str) -> list[float]:
+        slots = [0.0] * width
+        for i in range(len(text) - 2):
+            slots[zlib.crc32(text[i : i + 3].encode()) % width] += 1.0
+        return slots
+
+    return texts.map(one)
+
+
+def with_vectors(pairs: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+    """pairs(tid, aid) with the cosine of both vectors (id, embedding), 0 where one is missing."""
+    from matchloom.functions.similarity import cosine
+
+    x = pairs.join(anchors.select(F.col("id").alias("aid"), F.col("embedding").alias("_a")), "aid", "left").join(targets.select(F.col("id").alias("tid"), F.col("embedding").alias("_t")), "tid", "left")
+    return x.withColumn("multilingual_cosine", F.coalesce(cosine(F.col("_a"), F.col("_t")), F.lit(0.0))).drop("_a", "_t")

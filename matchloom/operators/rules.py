@@ -91,3 +91,86 @@ def id_code(x: Column) -> Column:
     """`S2-n`, `S3-n` as one integer: n plus the source in the top bits; null if the id is no such thing."""
     source, number = F.regexp_extract(x, "^S([23])-([0-9]{1,9})$", 1), F.regexp_extract(x, "^S([23])-([0-9]{1,9})$", 2)
     return F.when(source != "", F.shiftleft(source.try_cast("bigint"), 60) + number.try_cast("bigint"))
+
+
+def numbers(address: Column) -> Column:
+    """Distinct house numbers without leading zeros; digits joined by a hyphen, slash or space are one number."""
+    joined = F.regexp_replace(address, "(?<=[0-9])[-/ ](?=[0-9])", "")
+    bare = F.transform(F.regexp_extract_all(joined, F.lit("[0-9]+"), 0), lambda x: F.ltrim(x, F.lit("0")))
+    return F.array_distinct(F.filter(bare, lambda x: x != ""))
+
+
+def close_numbers(a: Column, b: Column) -> Column:
+    """Equal, one part of the other (two digits at least), or one digit apart."""
+    odd = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (~x.eqNullSafe(y)).cast("int")), F.lit(0), lambda s, v: s + v)
+    part = (F.length(a) >= 2) & (F.length(b) >= 2) & (a.contains(b) | b.contains(a))
+    return (a == b) | part | ((F.length(a) == F.length(b)) & (odd == 1))
+
+
+def number_agreement(a: Column, b: Column) -> Column:
+    """none, close or disjoint, of two lists of house numbers: a label-free sign of precision."""
+    hit = F.exists(a, lambda x: F.exists(b, lambda y: close_numbers(x, y)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), "none").when(hit, "close").otherwise("disjoint")
+
+
+def digit_dropped(a: Column, b: Column) -> Column:
+    """Whether the longer of two digit strings is the other with one digit more, anywhere."""
+    long_, short = F.when(F.length(a) > F.length(b), a).otherwise(b), F.when(F.length(a) > F.length(b), b).otherwise(a)
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(long_), F.lit(1))), lambda i: F.concat(F.substr(long_, F.lit(1), i - 1), F.substr(long_, i + 1)))
+    return (F.abs(F.length(a) - F.length(b)) == 1) & F.array_contains(cuts, short)
+
+
+def domain_pairs(targets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """tid, aid, n_candidates: targets named by a domain, and the one anchor whose name may be run together so.
+
+    Of several anchors, one counts if only it shares a house number (targets: id, country, name, numbers; anchors: id,
+    country, words, numbers).
+    """
+    stem = F.replace(F.lower(F.regexp_extract(F.trim("name"), "(?i)^(?:www\\.)?([^\\s.]+)\\.c[o0]m$", 1)), F.lit("0"), F.lit("o"))
+    t = targets.select(F.col("id").alias("tid"), "country", stem.alias("key"), F.col("numbers").alias("t_numbers")).where("key <> ''")
+    a = anchors.select(F.col("id").alias("aid"), "country", F.explode(domain_keys(F.col("words"))).alias("key"), F.col("numbers").alias("a_numbers")).withColumn("key", F.replace("key", F.lit("0"), F.lit("o")))
+    hit = t.join(a, ["country", "key"]).dropDuplicates(["tid", "aid"])
+    per = Window.partitionBy("tid")
+    x = hit.withColumns({"n": F.count("*").over(per), "near": F.arrays_overlap("t_numbers", "a_numbers").cast("int")})
+    x = x.withColumn("n_near", F.sum("near").over(per))
+    return x.where((F.col("n") == 1) | ((F.col("near") == 1) & (F.col("n_near") == 1))).select("tid", "aid", F.col("n").alias("n_candidates"))
+
+
+def kill_switch(linked: DataFrame, high: float = 0.9, low: float = 0.2) -> DataFrame:
+    """Links (tid, aid, word lists core, address, a_core, a_address) at one address under another name."""
+    from matchloom.functions.similarity import jaccard
+
+    return linked.where((F.size("address") >= 3) & (jaccard(F.col("address"), F.col("a_address")) >= high) & (jaccard(F.col("core"), F.col("a_core")) <= low)).select("tid", "aid")
+
+
+def number_offset(target: Column, anchor: Column) -> Column:
+    """Class of the difference of two house numbers (null: none)."""
+    d = target - anchor
+    return F.when(d.isNull(), "none").when(d == 0, "0").when(d.between(1, 20), "+1..+20").when(d.between(-20, -1), "-20..-1").when(d > 20, "> +20").otherwise("< -20")
+
+
+def swapped_at_address(a_words: Column, q_words: Column, a_address: Column, q_address: Column) -> Column:
+    """One word of two or more swapped, and the target's address (three words at least) inside the anchor's."""
+    inside = (F.size(q_address) >= 3) & (F.size(F.array_except(q_address, a_address)) == 0)
+    other = F.array_sort(F.array_distinct(a_words)) != F.array_sort(F.array_distinct(q_words))
+    return (F.size(q_words) >= 2) & one_word_swap(a_words, q_words) & other & inside
+
+
+def address_blocks(targets: DataFrame, anchors: DataFrame, keep: int = 3, most: int = 20_000) -> DataFrame:
+    """tid, aid, sim, overlap, n_cand: anchors that share a rare house number, the best by name similarity plus a little per number.
+
+    Records: id, country, numbers, grams (character n-grams of the name's skeleton).
+    """
+    from matchloom.functions.similarity import ratio
+
+    shared = number_blocks(targets, anchors, most).withColumnRenamed("shared", "overlap")
+    x = shared.join(targets.select(F.col("id").alias("tid"), F.col("grams").alias("q")), "tid").join(anchors.select(F.col("id").alias("aid"), F.col("grams").alias("a")), "aid")
+    x = x.withColumn("sim", ratio(F.size(F.array_intersect("q", "a")), F.sqrt(F.size("q") * F.size("a"))))
+    per = Window.partitionBy("tid")
+    best = per.orderBy(F.desc(F.round(F.col("sim") + 0.02 * F.col("overlap"), 9)), "aid")
+    return x.withColumns({"n_cand": F.count("*").over(per), "r": F.row_number().over(best)}).where(F.col("r") <= keep).select("tid", "aid", "sim", "overlap", "n_cand")
+
+
+def new_pairs(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Pairs (tid, aid, ...) that were not scored before."""
+    return now.join(before.select("tid", "aid"), ["tid", "aid"], "left_anti")

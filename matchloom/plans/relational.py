@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
+from matchloom.operators import learn, order
 from matchloom.plans.common import BEST, PAIRS, TRUTH, pairs, table, truth
 from matchloom.registry import register
 from matchloom.sources import records
@@ -54,10 +55,11 @@ def filter_uncertain_band(spark, d):
     return decide.band(decide.best_two(x).select("tid", F.col("p").alias("q")), x, 0.2, 0.6)
 
 
-@register(f"SELECT tid, aid FROM ({PAIRS}) WHERE (tid * 2654435761 + aid * 2246822519) % 4294967291 % 8 = 0")
+@register(f"WITH x AS (SELECT tid, aid, row_number() OVER (PARTITION BY tid ORDER BY p DESC, aid) - 1 AS r, (tid * 2654435761 + aid * 2246822519) % 4294967291 AS h FROM ({PAIRS})) SELECT x.tid, x.aid FROM x LEFT JOIN ({TRUTH}) t ON x.tid = t.tid AND x.aid = t.aid WHERE t.tid IS NOT NULL OR (r = 0 AND h % 2 = 0) OR (r = 1 AND h % 8 = 0) OR h % 64 = 0")
 def filter_hash_sample(spark, d):
-    h = F.pmod(F.col("tid") * F.lit(2654435761) + F.col("aid") * F.lit(2246822519), F.lit(4294967291))
-    return pairs(spark, d).where(h % 8 == 0).select("tid", "aid")
+    x = pairs(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("p"), "aid")) - 1)
+    x = x.join(truth(spark, d).withColumn("y", F.lit(1)), ["tid", "aid"], "left")
+    return x.where(learn.sampled(F.coalesce("y", F.lit(0)), F.col("r"), F.col("tid"), F.col("aid"))).select("tid", "aid")
 
 
 @register(f"SELECT tid, aid, round(q, 6) AS q FROM (SELECT tid, aid, p * 0.7 / (p * 0.7 + 1 - p) AS q FROM ({PAIRS}))")
@@ -98,7 +100,9 @@ def agg_anchor_load(spark, d):
 
 @register("SELECT round(corr(l_quantity, l_extendedprice), 6) AS corr, round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem")
 def agg_corr_median(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"), F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median"))
+    x = table(spark, d, "lineitem")
+    corr, median = x.agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr")), order.quantile(x, "l_extendedprice", 0.5)
+    return corr.crossJoin(median.select(F.round("quantile", 4).alias("median")))  # single rows
 
 
 @register("SELECT o_orderstatus AS status, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) FILTER (o_orderpriority LIKE '2%') AS high, count(*) FILTER (o_orderpriority LIKE '5%') AS low FROM orders GROUP BY o_orderstatus")

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 COLUMNS = ("entity_id", "business_name", "business_address", "country")
 
@@ -30,11 +29,10 @@ def read_literal(spark: SparkSession, path: str, columns: tuple[str, ...] = COLU
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """rid 0.. in the order of a key column: a range partitioning and one count per partition, no single-task window."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
-    schema = T.StructType([*df.schema.fields, T.StructField("rid", T.LongType(), False)])
-    return spark.createDataFrame(ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """rid 0.. in the order of a key column that the source provides (its line number, or its id)."""
+    from matchloom.operators.order import numbered as place
+
+    return place(df, order)
 
 
 def fold(name: Column, address: Column, country: Column) -> Column:

@@ -152,3 +152,72 @@ def test_all_key_types_have_a_twin(spark):
     both = [registry.queries()[n](spark, "/root/testdata/sf0.001").collect() for n in ("block_keys", "block_keys_address")]
     assert sorted(r.type for rows in both for r in rows) == list(range(7))
     assert {"block_keys", "block_keys_address"} <= set(registry.oracles())
+
+
+def test_prune_equals_a_heap(spark):
+    import heapq
+    import math
+
+    rnd = random.Random(6)
+    rows = [(t, rnd.randrange(30), round(rnd.random(), 3)) for t in range(200)]
+    links = spark.createDataFrame(rows, "tid long, aid long, q double")
+    value = lambda qs, k: 1.25 * sum(qs[:k]) / (k + 0.25 * sum(qs)) if k else math.exp(sum(math.log(1 - min(q, 1 - 1e-7)) for q in qs))
+    held = {a: sorted(((q, t) for t, b, q in rows if b == a), key=lambda x: (-x[0], x[1])) for _, a, _ in rows}
+    qs = {a: [q for q, _ in x] for a, x in held.items()}
+    heap = [(round(value(q, len(q)) - value(q, len(q) - 1), 9), a, len(q)) for a, q in qs.items()]
+    heapq.heapify(heap)
+    gone = set()
+    for _ in range(80):
+        _, a, k = heapq.heappop(heap)
+        gone.add(held[a][k - 1][1])
+        if k > 1:
+            heapq.heappush(heap, (round(value(qs[a], k - 1) - value(qs[a], k - 2), 9), a, k - 1))
+    assert {r.tid for r in decide.prune(links, 1200, 10).collect()} == {t for t, _, _ in rows} - gone
+    assert decide.prune(links, 2000, 10).count() == 200
+
+
+def test_order_over_ranges(spark, monkeypatch):
+    from matchloom.operators import order
+
+    monkeypatch.setattr(order, "RANGES", 7)
+    rnd = random.Random(2)
+    values = [rnd.randrange(10**6) for _ in range(500)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(sorted(set(values), key=lambda _: rnd.random()))], "v long, x long")
+    got = {r.v: r.rid for r in order.numbered(df, "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(got))}
+    assert order.quantile(df, "v", 0.5).first()[0] == __import__("statistics").median(got)
+    assert order.numbered(df.limit(0), "v").count() == 0 and order.quantile(df.limit(0), "v", 0.5).first()[0] is None
+
+
+def test_vector_recall_of_the_hashed_route(spark):
+    """Sign-pattern buckets against all rows, for a stated set of queries."""
+    from matchloom.operators import blocking
+
+    rnd = random.Random(9)
+    centre = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, 0, [x + rnd.gauss(0, 0.05) for x in centre[i % 12]]) for i in range(480)]
+    v = spark.createDataFrame(rows, "id long, part int, embedding array<double>")
+    asked = v.where("id % 20 = 0")
+    exact = {(r.tid, r.aid) for r in blocking.vector_top_k(asked, v, 4).collect()}
+    near = {(r.tid, r.aid) for r in blocking.vector_top_k(asked, v, 4, planes=5, tables=8).collect()}
+    assert len(exact) == 96 and len(exact & near) / len(exact) >= 0.9
+
+
+def test_models_of_the_second_stage(spark):
+    from matchloom.operators import learn
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):
+        y = i % 2
+        rows.append((i, 80 + i % 10, 0, y, 0.2 + 0.6 * rnd.random(), rnd.random(), y + rnd.gauss(0, 0.3)))
+    table = spark.createDataFrame(rows, "tid long, fold int, linked int, label int, q double, margin double, x double")
+    full, control = learn.banded_model(table, ["q", "margin", "x"], ["q", "margin"], rounds=5)
+    score = lambda m: evaluate.auc(learn.probability(m, table, "score").select("score", "label")).first()[0]
+    assert score(full) > 0.9 > score(control)
+    assert evaluate.auc(learn.probability(learn.rescue(table, ["x"], rounds=5), table, "score").select("score", "label")).first()[0] > 0.9
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "abcdeg"), (3, "zzzzzz"), (4, None)], "id long, text string")
+    made = learn.embedded(texts, learn.hashed_grams)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 9)], "tid long, aid long")
+    cos = {r.aid: r.multilingual_cosine for r in learn.with_vectors(pairs, made, made).collect()}
+    assert cos[2] > 0.5 > cos[3] and cos[4] == cos[9] == 0
