@@ -42,6 +42,8 @@ OPENS_LINE, OPENS = r"^[^\p{L}]*$", r"[.!?:][\"')\]]*\s+[\"'(\[]*$"
 SUPPORT, SHARE, BITS, CERTAIN = 3, 0.5, 4.0, 0.9
 #: Slots of the fixed-size filter that tells which words need a closer look (bits in BUCKETS / 64 longs): 16 bits of a hash.
 BUCKETS = 1 << 16
+#: Terms up to which texts are searched for the terms themselves; beyond, by the filter.  The result is the same.
+LISTED = 500
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 PLACE = "struct<start:int,end:int,value:string,gap:string>"
 
@@ -176,9 +178,14 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("kd", "kt", F.explode(_bound(F.split("text", "\n"), ends)).alias("x")).select("kd", "kt", "x.at", "x.line")
 
 
-def occurrences(rows: DataFrame, bits: list[int], pattern: str) -> DataFrame:
-    """kd, kt, term, start, context, opens of the words of rows(kd, kt, text) of the pattern that pass the filter."""
-    some = lambda text: F.exists(F.regexp_extract_all(text, F.lit(pattern), 0), lambda w: _may(w, bits))
+def occurrences(rows: DataFrame, terms: DataFrame, bits: list[int], pattern: str) -> DataFrame:
+    """kd, kt, term, start, context, opens of the words of rows(kd, kt, text) of the pattern that pass the filter of terms(term)."""
+    few = [r[0] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+
+    def some(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), 0)
+        return F.arrays_overlap(found, F.lit(few)) if len(few) <= LISTED else F.exists(found, lambda w: _may(w, bits))
+
     lines = _lines(rows.where(some(F.col("text")))).where(some(F.col("line")))
     opens = lambda x, i: F.when(i == 0, x["gap"].rlike(OPENS_LINE) | x["gap"].rlike(OPENS)).otherwise(x["gap"].rlike(OPENS))
     hits = F.transform(_placed(F.col("line"), pattern), lambda x, i: F.struct(x["value"].alias("term"), x["start"].alias("start"), opens(x, i).alias("opens")))
@@ -192,7 +199,7 @@ def ordinary(rows: DataFrame, terms: DataFrame) -> DataFrame | None:
     bits = _filter(F.col("low"), lower)
     if not bits:
         return None
-    seen = occurrences(rows, bits, WORD).select(F.col("term").alias("low"), "context").distinct().groupBy("low").agg(F.count("*").alias("n"))
+    seen = occurrences(rows, lower.select(F.col("low").alias("term")), bits, WORD).select(F.col("term").alias("low"), "context").distinct().groupBy("low").agg(F.count("*").alias("n"))
     return lower.join(seen, "low").where((F.col("n") >= SUPPORT) & (F.col("n") >= F.col("alone"))).select("term")
 
 
@@ -214,7 +221,7 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     bits = _filter(F.col("term"), pairs)
     if not bits:
         return None
-    hits = occurrences(rows.select("kd", "kt", "text"), bits, WHOLE_TERM)
+    hits = occurrences(rows.select("kd", "kt", "text"), pairs, bits, WHOLE_TERM)
     hits = scratch.checkpoint(hits.join(pairs.select("term").distinct(), "term", "left_semi"))
     # copies of a line are one context, before anything is dealt by term
     alone = hits.groupBy("term", "context").agg(F.min("opens").alias("opens")).groupBy("term").agg(F.count("*").alias("alone"), F.min("opens").alias("opens"))
