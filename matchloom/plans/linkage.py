@@ -68,7 +68,7 @@ def decide_knob_grid(spark, d):
     return decide.grid(decisions(spark, d), truth(spark, d), anchors(spark, d), OPTIONS).select("option", "missing", "empty_scale", F.round("macro_f05", 6).alias("macro_f05"))
 
 
-ADDED = "SELECT tid, aid FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY p DESC, tid) AS n FROM ({new}) x LEFT JOIN (SELECT aid AS a2, count(*) AS used FROM ({cur}) GROUP BY aid) u ON x.aid = u.a2) WHERE n <= 900 - coalesce(used, 0)"
+ADDED = "SELECT tid, aid FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY p DESC, tid) AS n FROM ({new}) x LEFT JOIN (SELECT aid AS a2, count(*) AS used FROM ({cur}) GROUP BY aid) u ON x.aid = u.a2) WHERE n <= 120 - coalesce(used, 0)"
 
 
 @register(f"WITH cur AS (SELECT tid, aid FROM ({DECISIONS}) WHERE q >= 0.7), one AS (SELECT tid, aid, p FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY p DESC, aid) AS r FROM ({PAIRS}) WHERE tid NOT IN (SELECT tid FROM cur)) WHERE r = 1) SELECT tid, aid FROM cur UNION ALL " + ADDED.format(new="SELECT * FROM one", cur="SELECT * FROM cur"))
@@ -77,7 +77,7 @@ def decide_additions_with_caps(spark, d):
     new = pairs(spark, d).select("tid", "aid", F.lit("S2").alias("src"), F.struct(-F.col("p"), "aid", "tid").alias("pos"))
     # list order within a target is by score; per anchor by score, then target
     new = new.select("tid", "aid", "src", F.struct(F.col("pos").getField("col1").alias("s"), F.col("tid").alias("t"), F.col("aid").alias("a")).alias("pos"))
-    return decide.additions(cur, [new], {"S2": 900}).select("tid", "aid")
+    return decide.additions(cur, [new], {"S2": 120}).select("tid", "aid")
 
 
 @register(f"SELECT aid, country, pred::BIGINT AS pred, truth::BIGINT AS truth, tp::BIGINT AS tp, round(f, 6) AS f FROM ({scored_sql(BEST)})")
@@ -170,7 +170,7 @@ def block_keys_address(spark, d):
 
 @register()
 def block_candidates(spark, d):
-    """All of B1-B11 on part names within a brand (order-dependent budgets: checked against Python in the tests)."""
+    """All of B1-B11 on part names within a brand (block_* have a twin of every step)."""
     x = _names(spark, d)
     out = blocking.candidates(x, x)
     return out.select("tid", "aid", "position", F.round("rank", 6).alias("rank"), F.round("margin", 6).alias("margin"), "near_identical", "dense")

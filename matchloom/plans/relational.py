@@ -35,9 +35,10 @@ def join_left_labels(spark, d):
     return x.select(F.col("o_orderkey").alias("rid"), F.coalesce("c_custkey", F.lit(-1)).alias("aid"), F.coalesce("c_nationkey", F.lit(-1)).alias("fold"))
 
 
-@register("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti_orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    dear = table(spark, d, "orders").where("o_totalprice > 200000")
+    return table(spark, d, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
 
 
 @register("SELECT l_orderkey AS tid, l_suppkey AS aid, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY l_orderkey, l_suppkey")
