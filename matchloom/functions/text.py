@@ -192,3 +192,58 @@ def views(df: DataFrame, version: int = 3, maps: dict | None = None) -> DataFram
     }
     df = df.withColumns(out)
     return df.drop(*(c for c in df.columns if c in ("_n", "_a", "_c", "_t", "_lo", "_hi", "_legal", "_core")))
+
+
+# Fixed values of the first normaliser (superseded, kept for results made with it).
+FIRST_DROPPED = "private pvt limited ltd llp llc inc incorporated corporation corp company co proprietorship partnership opc ms mr mrs m s the and of for at by".split()
+FIRST_NAME_ALIASES = {
+    "pvt": "private", "ltd": "limited", "incorporated": "inc", "corporation": "corp", "corporate": "corp", "co": "company", "pr": "private",
+    "limittedd": "limited", "limittd": "limited", "praaivett": "private",
+}
+FIRST_ADDRESS_ALIASES = {
+    "road": "rd", "street": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "lane": "ln", "highway": "hwy", "apartment": "apt", "apartments": "apt",
+    "floor": "fl", "suite": "ste", "building": "bldg", "number": "no", "opposite": "opp", "opposit": "opp", "nearby": "near",
+    "maharashtra": "mh", "delhi": "dl", "dillii": "dl", "karnataka": "ka", "rajasthan": "rj", "gujarat": "gj", "bihar": "br", "telangana": "ts",
+    "haryana": "hr", "punjab": "pb", "kerala": "kl", "tamilnadu": "tn", "uttarpradesh": "up", "westbengal": "wb",
+    "california": "ca", "texas": "tx", "florida": "fl", "utah": "ut", "missouri": "mo", "wisconsin": "wi", "arizona": "az", "illinois": "il", "ohio": "oh",
+    "oregon": "or", "georgia": "ga", "colorado": "co", "nevada": "nv", "virginia": "va", "pennsylvania": "pa", "michigan": "mi", "washington": "wa",
+    "tennessee": "tn", "massachusetts": "ma", "alabama": "al", "alaska": "ak", "arkansas": "ar", "connecticut": "ct", "delaware": "de", "hawaii": "hi",
+    "idaho": "id", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "minnesota": "mn",
+    "mississippi": "ms", "montana": "mt", "nebraska": "ne", "oklahoma": "ok", "vermont": "vt", "wyoming": "wy",
+    "chemin": "chem", "route": "rte", "saint": "st", "sainte": "ste",
+    "first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th",
+}
+FIRST_PHRASES = {
+    "new york": "ny", "new jersey": "nj", "new mexico": "nm", "new hampshire": "nh", "north carolina": "nc", "south carolina": "sc", "north dakota": "nd",
+    "south dakota": "sd", "rhode island": "ri", "west virginia": "wv", "uttar pradesh": "up", "madhya pradesh": "mp", "west bengal": "wb", "tamil nadu": "tn",
+    "andhra pradesh": "ap", "himachal pradesh": "hp", "pvt ltd": "private limited",
+}
+
+
+@F.pandas_udf(StringType())
+def _first_ascii(values: pd.Series) -> pd.Series:
+    """Composed, spelled in ASCII, then case-folded: the first normaliser's order of steps."""
+    return values.map(lambda v: to_ascii(unicodedata.normalize("NFKC", v or "")).casefold())
+
+
+def first_basic(x: Column) -> Column:
+    return tokens(_first_ascii(F.coalesce(x, F.lit(""))))
+
+
+def first_views(df: DataFrame) -> DataFrame:
+    """df(business_name, business_address, ...) with the views of the first normaliser; it knows no learned maps (see check_learned)."""
+    name = F.coalesce("business_name", F.lit(""))
+    df = df.withColumns({"_n": _aliased(first_basic(F.col("business_name")), FIRST_NAME_ALIASES), "_a": F.array_join(first_basic(F.col("business_address")), " ")})
+    core = F.filter("_n", lambda w: ~w.isin(*FIRST_DROPPED))
+    core = F.when(F.size(core) > 0, core).otherwise(F.col("_n"))
+    domain = name.contains(".") & (F.array_contains("_n", "com") | F.array_contains("_n", "www"))
+    brand = F.filter(core, lambda w: ~w.isin("www", "https", "http", "com", "org", "net", "in"))
+    df = df.withColumn("_core", F.when(domain & (F.size(brand) > 0), brand).when(domain, F.col("_n")).otherwise(core))
+    address = F.col("_a")
+    for phrase, short in FIRST_PHRASES.items():
+        address = F.regexp_replace(address, f"\\b{phrase}\\b", short)
+    out = {
+        "name_norm": F.array_join("_n", " "), "name_core": F.array_join("_core", " "), "address_norm": F.array_join(_aliased(F.split(address, " "), FIRST_ADDRESS_ALIASES), " "),
+        "phonetic": phonetic(F.col("_core")), "non_ascii_name": name.rlike("[^\\x00-\\x7F]").cast("int"), "address_missing": (F.trim(F.coalesce("business_address", F.lit(""))) == "").cast("int"),
+    }
+    return df.withColumns(out).drop("_n", "_a", "_core")

@@ -191,9 +191,21 @@ def additions(current: DataFrame, lists: list[DataFrame], caps: dict[str, int])
     return have
 
 
-def thinned(decisions: DataFrame, pairs: DataFrame, share: float, seed: int = 7) -> DataFrame:
-    """A denser world: a share of anchors (by hash) is removed and its targets move to their best surviving candidate."""
-    gone = F.pmod(F.xxhash64("aid", F.lit(seed)), F.lit(1000)) < int(share * 1000)
+def removed_anchors(share: float, seed: int = 7) -> Column:
+    """A share of anchors by a hash of aid."""
+    return F.pmod(F.xxhash64("aid", F.lit(seed)), F.lit(1000)) < int(share * 1000)
+
+
+def thinned(decisions: DataFrame, pairs: DataFrame, gone: Column, runner_up: DataFrame | None = None) -> DataFrame:
+    """A denser world: anchors of which ``gone`` holds are removed, their targets move to their best surviving candidate.
+
+    pairs: tid, aid, p.  A target without one moves to its surviving runner-up (tid, aid, q; q calibrated, see
+    learn.isotonic), else to none.  Moved targets get margin 1.
+    """
     best = best_two(pairs.where(~gone)).select("tid", F.col("aid").alias("next"), F.col("p").alias("qn"))
     x = decisions.withColumn("lost", gone).join(best, "tid", "left")
-    return x.select("tid", F.when(F.col("lost"), F.coalesce("next", F.lit(-1))).otherwise(F.col("aid")).alias("aid"), F.when(F.col("lost"), F.coalesce("qn", F.lit(0.0))).otherwise(F.col("q")).alias("q"), "margin")
+    if runner_up is not None:
+        late = runner_up.where(~gone).select("tid", F.col("aid").alias("late"), F.col("q").alias("ql"))
+        x = x.join(late, "tid", "left").withColumn("qn", F.when(F.col("next").isNull(), F.col("ql")).otherwise(F.col("qn"))).withColumn("next", F.coalesce("next", "late"))
+    moved = F.col("lost") & F.col("next").isNotNull()
+    return x.select("tid", F.when(F.col("lost"), F.coalesce("next", F.lit(-1))).otherwise(F.col("aid")).alias("aid"), F.when(F.col("lost"), F.coalesce("qn", F.lit(0.0))).otherwise(F.col("q")).alias("q"), F.when(moved, 1.0).otherwise(F.col("margin")).alias("margin"))

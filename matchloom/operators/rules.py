@@ -51,13 +51,22 @@ def number_blocks(targets: DataFrame, anchors: DataFrame, most: int = 20_000) ->
     return t.join(a.join(rare, ["country", "number"]), ["country", "number"]).groupBy("tid", "aid").agg(F.count("*").alias("shared"))
 
 
+# Legal words that a domain may leave out.
+DOMAIN_LEGAL = "sarl sas sasu sa eurl ei sci snc ltd llc inc corp pvt private limited llp lp pllc pc plc co company corporation incorporated l c p".split()
+
+
 def domain_keys(words: Column) -> Column:
-    """Ways a name may be run together in a domain: all rotations, whole and with initials in front."""
-    n = F.size(words)
-    turns = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.concat(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))), F.slice(words, 1, k)))
-    whole = F.transform(turns, lambda w: F.array_join(w, ""))
-    short = F.transform(turns, lambda w: F.concat(F.array_join(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x: F.substring(x, 1, 1)), ""), F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit(""))))
-    return F.filter(F.array_distinct(F.concat(whole, short)), lambda x: F.length(x) >= 3)
+    """Ways a name may be run together in a domain: all rotations, any number of leading words as initials, with and without legal words."""
+
+    def run_together(ws: Column) -> Column:
+        n = F.size(ws)
+        steps = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        turned = lambda k: F.concat(F.slice(ws, k + 1, n), F.slice(ws, 1, k))
+        short = lambda w, i: F.concat(F.array_join(F.transform(F.slice(w, 1, i), lambda x: F.substring(x, 1, 1)), ""), F.array_join(F.slice(w, i + 1, n), ""))
+        return F.flatten(F.transform(steps, lambda k: F.transform(steps, lambda i: short(turned(k), i))))
+
+    both = F.concat(run_together(words), run_together(F.filter(words, lambda w: ~w.isin(*DOMAIN_LEGAL))))
+    return F.filter(F.array_distinct(both), lambda x: x != "")
 
 
 def house_number_relation(a: Column, b: Column) -> Column:

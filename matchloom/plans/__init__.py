@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from matchloom.plans import blocking_steps, evidence_rules, features, linkage, relational, reports, strings  # noqa: F401
+    from matchloom.plans import blocking_steps, evidence_rules, features, linkage, relational, reports, rescues, strings  # noqa: F401

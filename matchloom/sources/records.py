@@ -141,6 +141,25 @@ def bundle(path: str, files: list[str]) -> dict[str, str]:
         return {n: hashlib.sha256(z.read(n)).hexdigest() for n in z.namelist()}
 
 
+def digest(path: str) -> str:
+    """SHA-256 of a local file, read in blocks."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def audit_bundle(archive: str, files: list[str], repeated: tuple[str, str] | None = None) -> dict[str, str]:
+    """Hashes of the files; raises unless the archive holds the same bytes and a repeated run's two outputs are equal."""
+    hashes = {os.path.basename(f): digest(f) for f in files}
+    with zipfile.ZipFile(archive) as z:
+        for name, want in hashes.items():
+            with z.open(name) as f:
+                if hashlib.file_digest(f, "sha256").hexdigest() != want:
+                    raise ValueError(f"{name} differs in the archive")
+    if repeated and digest(repeated[0]) != digest(repeated[1]):
+        raise ValueError("a repeated run gave other bytes")
+    return hashes
+
+
 def score_integrity(scores: DataFrame, sibling: DataFrame | None = None, least_corr: float = 0.8) -> dict:
     """Raises unless scores(key, score) are finite, within 0..1, spread out and, if given, correlated with a sibling."""
     joined = scores if sibling is None else scores.join(sibling.select("key", F.col("score").alias("other")), "key", "left")
