@@ -57,3 +57,10 @@ def test_names_without_address_in_large_groups(spark):
     rows = spark.range(60_000).select("id", F.lit("X").alias("country"), F.when(F.col("id") < 20_000, "red bolt").otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("core"), F.lit("").alias("address"))
     found = rescues.blank_blocks(rows.where("id < 20000"), rows, 4, 0.5)
     assert within(spark, 60, lambda: found.agg(F.count("*"), F.max("aid"), F.countDistinct("tid")).first()) == (80_000, 3, 20_000)
+
+
+def test_tokens_in_large_groups(spark):
+    rows = spark.range(20_000).select("id", F.lit("X").alias("country"), F.when(F.col("id") % 2 == 0, F.array(F.lit("red"), F.lit("bolt"))).otherwise(F.array(F.lit("bolt"), F.lit("rod"))).alias("tokens"))
+    found = blocking.tfidf_top_k(rows, rows, 3, 1.0).groupBy("tid").agg(F.max("aid").alias("last"))
+    got = within(spark, 60, lambda: found.groupBy(F.col("tid") % 2, "last").count().collect())
+    assert sorted(tuple(r) for r in got) == [(0, 4, 10_000), (1, 5, 10_000)]
