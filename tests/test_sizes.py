@@ -74,6 +74,6 @@ def above_pairs(spark, name):
     return "\n".join(lines[: next((i for i, x in enumerate(lines) if "Generate inline" in x), len(lines))])
 
 
-@pytest.mark.parametrize("name, costly", [("rule_decoy_signature", "array_sort|array_except"), ("rule_offset_and_swap", "zip_with|zipwith|array_except"), ("fn_edit_similarity", "levenshtein"), ("fn_token_similarities", "array_intersect")])
+@pytest.mark.parametrize("name, costly", [("rule_decoy_signature", "array_sort|array_except"), ("rule_offset_and_swap", "zip_with|zipwith|array_except"), ("rule_kill_switch", "array_intersect"), ("fn_edit_similarity", "levenshtein"), ("fn_token_similarities", "array_intersect")])
 def test_words_are_compared_once_per_pair_of_names(spark, name, costly):
     assert not re.search(costly, above_pairs(spark, name), re.I)
