@@ -77,3 +77,10 @@ def above_pairs(spark, name):
 @pytest.mark.parametrize("name, costly", [("rule_decoy_signature", "array_sort|array_except"), ("rule_offset_and_swap", "zip_with|zipwith|array_except"), ("rule_kill_switch", "array_intersect"), ("fn_edit_similarity", "levenshtein"), ("fn_token_similarities", "array_intersect")])
 def test_words_are_compared_once_per_pair_of_names(spark, name, costly):
     assert not re.search(costly, above_pairs(spark, name), re.I)
+
+
+def test_containment_of_copies(spark):
+    t = spark.range(40_000).select("id", F.lit("X").alias("country"), F.array(F.lit("a"), F.lit("b")).alias("words"))
+    a = spark.range(4_000).select("id", F.lit("X").alias("country"), F.array(F.lit("a"), F.when(F.col("id") < 3, "b").otherwise("c")).alias("words"))
+    got = within(spark, 20, lambda: blocking.containment(t, a).groupBy("aid").count().collect())
+    assert sorted(tuple(r) for r in got) == [(i, 40_000) for i in range(3)]
