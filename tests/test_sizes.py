@@ -84,3 +84,17 @@ def test_containment_of_copies(spark):
     a = spark.range(4_000).select("id", F.lit("X").alias("country"), F.array(F.lit("a"), F.when(F.col("id") < 3, "b").otherwise("c")).alias("words"))
     got = within(spark, 20, lambda: blocking.containment(t, a).groupBy("aid").count().collect())
     assert sorted(tuple(r) for r in got) == [(i, 40_000) for i in range(3)]
+
+
+def test_candidates_of_copies(spark):
+    x = spark.range(9_000).select("id", F.lit("X").alias("country"), F.lit("red bolt").alias("core"), F.lit("12 large rd").alias("address"), F.lit("red bolt").alias("phonetic"), F.lit(0).alias("missing"))
+    found = blocking.candidates(x, x).agg(F.count("*"), F.max("aid"), F.countDistinct("tid"), F.max("margin"))
+    assert within(spark, 60, found.first) == (72_000, 7, 9_000, 0.0)
+
+
+def test_terms_of_kinds_are_those_of_records(spark):
+    x = spark.range(90).select("id", F.lit("X").alias("country"), F.concat(F.lit("red "), (F.col("id") % 4).cast("string"), F.lit("x")).alias("core"), F.when(F.col("id") % 3 == 0, "").otherwise("7 rd").alias("address"), F.lit("rd").alias("phonetic"), F.lit(0).alias("missing"))
+    kinds = blocking.kinds(x)
+    assert kinds.count() == 8
+    sets = [set(map(tuple, blocking.postings(blocking.keys(r), 90)[0].collect())) for r in (x, kinds)]
+    assert sets[0] == sets[1]
