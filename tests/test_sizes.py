@@ -1,5 +1,6 @@
 """Large groups of copies: work that grows with the square of a group is cut off by a clock and fails."""
 
+import functools
 import math
 import re
 import threading
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import registry
-from matchloom.operators import blocking, rescues
+from matchloom.operators import blocking, rescues, vectors
 
 
 def within(spark, seconds, f):
@@ -68,6 +69,46 @@ def test_tokens_in_large_groups(spark):
     assert sorted(tuple(r) for r in got) == [(0, 4, 10_000), (1, 5, 10_000)]
 
 
+def plain_nearest(queries, base, k):
+    """{tid: [(aid, cos)]} by loops over (id, part, embedding); NaN first, null last."""
+
+    def cosine(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        dot = lambda p, q: functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(p, q), 0.0)
+        length = math.sqrt(dot(x, x) * dot(y, y))
+        return 0.0 if length == 0 else c if math.isnan(c := dot(x, y) / length) else max(-1.0, min(1.0, c))
+
+    place = lambda c: (2, 0) if c is None else (0, 0) if math.isnan(c) else (1, -c)
+    out = {}
+    for t, p, x in queries:
+        found = sorted(((a, cosine(x, y)) for a, q, y in base if p == q and a != t), key=lambda f: (place(f[1]), f[0]))[:k]
+        out |= {t: found} if found else {}
+    return out
+
+
+@pytest.mark.parametrize("block", [8_192, 7])
+def test_nearest_vectors_with_copies_and_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    odd = {3: None, 17: [1.0, None, 2.0], 31: [0.0, 0.0, 0.0], 45: [1.0, 2.0], 46: [2.0, 1.0], 59: [], 60: [math.nan, 1.0, 2.0], 61: [1e-30, 2e-30, 3e-30], 62: None}
+    rows = [(i, None if i == 80 else i % 3, odd.get(i, [float(i * i % 5 - 2), 0.1 * (i % 4) + 0.3, 0.7 * (1 + i % 2)] if i % 5 else [0.3 * i, 0.1 * i, 0.7 * i])) for i in range(90)] + [(91, 7, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, part int, embedding array<double>")
+    for asked in (df, df.where("id % 4 = 1")):
+        got = {}
+        for r in blocking.vector_top_k(asked, df, 4).collect():
+            got.setdefault(r.tid, []).append((r.aid, r.cos))
+        base = [r for r in rows if r[1] is not None]
+        want = plain_nearest([r for r in base if asked is df or r[0] % 4 == 1], base, 4)
+        assert {t: sorted(map(str, f)) for t, f in got.items()} == {t: sorted(map(str, f)) for t, f in want.items()}
+
+
+def test_nearest_vectors_of_a_large_partition(spark):
+    x = spark.range(12_000).select("id", F.lit(1).alias("part"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.greatest(F.col("id"), F.lit(4_000)) * i)).alias("embedding"))
+    found = blocking.vector_top_k(x, x, 4)
+    got = within(spark, 60, lambda: found.agg(F.count("*"), F.max(F.when(F.col("tid") < 4_000, F.col("aid")))).first())
+    assert got == (48_000, 4)
+
+
 def above_pairs(spark, name):
     """The part of a query's optimised plan that works on every pair of records."""
     lines = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
