@@ -144,7 +144,7 @@ def test_terms_of_kinds_are_those_of_records(spark):
 
 
 #: Queries of all pairs, and the rows of 8,000 distinct names of one brand and type.
-PAIRED = [("rule_kill_switch", 16_000_000), ("rule_offset_and_swap", 31_996_000)]
+PAIRED = [("rule_kill_switch", 16_000_000), ("rule_offset_and_swap", 31_996_000), ("fn_token_similarities", 31_996_000)]
 
 
 def parts(spark, path, rows):
