@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import registry
-from matchloom.operators import blocking, record_pairs, rescues, vectors
+from matchloom.operators import blocking, record_pairs, rescues, sparse, vectors
 
 
 def within(spark, seconds, f):
@@ -183,3 +183,26 @@ def test_pairs_with_copies_and_odd_names(spark, tmp_path, monkeypatch, name, _,
     df = registry.queries()[name](spark, d)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracles()[name]})").fetchall()
     assert len(want) > 300 and sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_distinct_names_by_tfidf(spark):
+    g = F.col("id") % 4
+    rows = spark.range(20_000).select("id", F.lit("X").alias("country"), F.array(F.concat(F.lit("a"), g.cast("string")), F.concat(F.lit("b"), g.cast("string")), F.col("id").cast("string")).alias("tokens"))
+    found = blocking.tfidf_top_k(rows, rows, 3, 1.0).groupBy("tid").agg(F.count("*").alias("n"), F.max("aid").alias("last"), F.sum("aid").alias("all"))
+    g, i = F.col("tid") % 4, F.col("tid")
+    right = (F.col("n") == 3) & (F.col("last") == F.greatest(i, g + 8)) & (F.col("all") == 2 * g + 4 + F.greatest(i, g + 8))
+    assert tuple(within(spark, 40, lambda: found.agg(F.count("*"), F.sum(right.cast("int"))).first())) == (20_000, 20_000)
+
+
+def test_names_by_tfidf_in_small_chunks(spark, monkeypatch):
+    words = ["red bolt", "bolt red", "red red bolt", "blue rod", "blue bolt 7", "", "old gear"]
+    rows = [(i, None if i == 9 else "XY"[i % 3 == 0], f"{words[(i * i + i // 5) % 7]} {i // 2}".split()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, country string, tokens array<string>")
+    ways = []
+    for asked, held in ((4_096, 16_384), (7, 5)):
+        monkeypatch.setattr(sparse, "ASKED", asked)
+        monkeypatch.setattr(sparse, "HELD", held)
+        ways.append(sorted((r.tid, r.aid, round(r.sim, 9)) for r in blocking.tfidf_top_k(df, df, 4, 0.7).collect()))
+    want = plain_top_k([r for r in rows if r[1]], rows, 4, 0.7)
+    assert ways[0] == ways[1] and {t for t, _, _ in ways[0]} == set(want)
+    assert all(sorted(round(s, 7) for t, _, s in ways[0] if t == x) == sorted(round(s, 7) for _, s in f) for x, f in want.items())
