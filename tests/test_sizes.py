@@ -129,6 +129,16 @@ def test_containment_of_copies(spark):
     assert sorted(tuple(r) for r in got) == [(i, 40_000) for i in range(3)]
 
 
+@pytest.mark.parametrize("listed", [4_096, 7])
+def test_containment_in_many_anchors(spark, monkeypatch, listed):
+    monkeypatch.setattr(blocking, "LISTED", listed)
+    words = lambda *xs: F.array(*(F.lit(x) for x in xs))
+    t = spark.range(50).select("id", F.lit("X").alias("country"), F.when(F.col("id") == 7, words("b", "c")).otherwise(words("a", "b")).alias("words"))
+    a = spark.range(200).select("id", F.lit("X").alias("country"), F.when(F.col("id") == 9, words("b", "c")).when(F.col("id") % 2 == 0, words("a", "b")).otherwise(words("a", "c")).alias("words"))
+    got = sorted((r.tid, r.aid) for r in blocking.containment(t, a).collect())
+    assert got == [(t, a) for t in range(50) if t != 7 for a in range(0, 200, 2)]
+
+
 def test_candidates_of_copies(spark):
     x = spark.range(9_000).select("id", F.lit("X").alias("country"), F.lit("red bolt").alias("core"), F.lit("12 large rd").alias("address"), F.lit("red bolt").alias("phonetic"), F.lit(0).alias("missing"))
     found = blocking.candidates(x, x).agg(F.count("*"), F.max("aid"), F.countDistinct("tid"), F.max("margin"))
