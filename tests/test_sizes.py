@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import registry
-from matchloom.operators import blocking, record_pairs, rescues, sparse, vectors
+from matchloom.operators import blocking, record_pairs, rescues, retrieval, sparse, vectors
 
 
 def within(spark, seconds, f):
@@ -145,6 +145,32 @@ def test_candidates_of_copies(spark):
     assert within(spark, 60, found.first) == (72_000, 7, 9_000, 0.0)
 
 
+@pytest.mark.parametrize("asked, held, rare", [(1_024, 16_384, 256), (7, 5, 256), (7, 50, 2), (30, 5, 1)])
+def test_candidates_in_small_chunks(spark, monkeypatch, asked, held, rare):
+    for name, n in (("ASKED", asked), ("HELD", held), ("RARE", rare)):
+        monkeypatch.setattr(retrieval, name, n)
+    words = ["red bolt", "bolt red", "red rod", "blue rod", "blue bolt 7", "", "old gear"]
+    rows = [(i * 7 % 121, "XY"[i % 3 == 0] if i != 40 else None, f"{words[(i * i + i // 5) % 7]} {i % 11}".strip(), ["", "12 large rd", f"{i % 5} small rd"][i % 3 * (i % 2)], words[i % 7]) for i in range(121)]
+    rows += [(i + 200, *r[1:]) for i, r in enumerate(rows[::3])]
+    x = spark.createDataFrame(rows, "id long, country string, core string, address string, phonetic string").withColumn("missing", (F.col("address") == "").cast("int"))
+    config = blocking.Config(cap=90, preliminary=5, routes=2, keep=3)
+    t, a = x.where("id % 2 = 0"), x
+    got = blocking.candidates(a, t, None, config)
+    terms, lists = blocking.postings(blocking.keys(a), a.count(), config)
+    pairs = blocking.preliminary(blocking.scores(blocking.chosen_terms(blocking.keys(t), terms, config), lists, config), config)
+    pairs = pairs.drop("rank", "n", "a").join(blocking.ready(a, "aid", "a"), "aid").join(blocking.ready(t, "tid", "q"), "tid")
+    want = blocking.final(blocking.filter_rank(pairs).withColumn("missing", F.col("q.missing")).drop("a", "q"), None, config)
+    of = lambda df: sorted((r.tid, r.aid, r.position, round(r.rank, 9), round(r.ns, 9), round(r.ads, 9), r.near_identical) for r in df.collect())
+    assert len(want.collect()) > 150 and of(got) == of(want)
+
+
+def test_candidates_of_distinct_names(spark):
+    i = F.col("id").cast("string")
+    x = spark.range(8_000).select("id", F.lit("X").alias("country"), F.concat(F.lit("red bolt "), i).alias("core"), F.concat((F.col("id") % 50).cast("string"), F.lit(" large rd")).alias("address"), F.lit("red bolt").alias("phonetic"), F.lit(0).alias("missing"))
+    found = blocking.candidates(x, x).agg(F.countDistinct("tid"), F.sum(((F.col("tid") == F.col("aid")) & (F.col("position") == 0)).cast("int")))
+    assert tuple(within(spark, 60, found.first)) == (8_000, 8_000)
+
+
 def test_terms_of_kinds_are_those_of_records(spark):
     x = spark.range(90).select("id", F.lit("X").alias("country"), F.concat(F.lit("red "), (F.col("id") % 4).cast("string"), F.lit("x")).alias("core"), F.when(F.col("id") % 3 == 0, "").otherwise("7 rd").alias("address"), F.lit("rd").alias("phonetic"), F.lit(0).alias("missing"))
     kinds = blocking.kinds(x)
