@@ -164,6 +164,13 @@ def test_candidates_in_small_chunks(spark, monkeypatch, asked, held, rare):
     assert len(want.collect()) > 150 and of(got) == of(want)
 
 
+@pytest.mark.parametrize("name", ["features_names", "pair_features_63"])
+def test_features_are_made_once_per_pair_of_kinds(spark, name):
+    lines = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [next(i for i, x in enumerate(lines) if w in x) for w in ("Join", "levenshtein")]
+    assert at[0] < at[1] and any("Aggregate [_a" in x for x in lines[at[1] :])
+
+
 def test_candidates_of_distinct_names(spark):
     i = F.col("id").cast("string")
     x = spark.range(8_000).select("id", F.lit("X").alias("country"), F.concat(F.lit("red bolt "), i).alias("core"), F.concat((F.col("id") % 50).cast("string"), F.lit(" large rd")).alias("address"), F.lit("red bolt").alias("phonetic"), F.lit(0).alias("missing"))
