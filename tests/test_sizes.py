@@ -171,6 +171,11 @@ def test_features_are_made_once_per_pair_of_kinds(spark, name):
     assert at[0] < at[1] and any("Aggregate [_a" in x for x in lines[at[1] :])
 
 
+def test_plans_after_retrieval_are_small(spark):
+    plan = registry.queries()["block_final"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "log1p" not in plan.lower()
+
+
 def test_candidates_of_distinct_names(spark):
     i = F.col("id").cast("string")
     x = spark.range(8_000).select("id", F.lit("X").alias("country"), F.concat(F.lit("red bolt "), i).alias("core"), F.concat((F.col("id") % 50).cast("string"), F.lit(" large rd")).alias("address"), F.lit("red bolt").alias("phonetic"), F.lit(0).alias("missing"))
