@@ -171,8 +171,9 @@ def test_features_are_made_once_per_pair_of_kinds(spark, name):
     assert at[0] < at[1] and any("Aggregate [_a" in x for x in lines[at[1] :])
 
 
-def test_plans_after_retrieval_are_small(spark):
-    plan = registry.queries()["block_final"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("name", ["block_final", "block_chosen_terms"])
+def test_plans_of_settled_rows_are_small(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" not in plan and "log1p" not in plan.lower()
 
 
